@@ -108,7 +108,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", t
         "shard-rows",
     )
     starts, counts = plan(slim, shards)
-    most = max(4096, sum(counts.values()) // 1024)
+    most = max(512, sum(counts.values()) // 1024)
     hot = {b: -(-n // most) for b, n in counts.items() if n > most}  # at most 1,024 buckets
     parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col("bucket")), F.lit(1)) if hot else F.lit(1)
     slim = slim.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int")).withColumn("shard", shard_of(F.col("bucket"), starts).cast("int"))
