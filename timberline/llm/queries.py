@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import decontaminate, language_id, mixing, pivot_search, secret_scan, sharding, simhash, token_counts
+from timberline.llm import decontaminate, language_id, mixing, pivot_search, secret_scan, sharding, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_pivot_search, op4_secret_scan, op6_token_counts, op8_mixing, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_pivot_search, op4_secret_scan, op5_suffix_dedup, op6_token_counts, op8_mixing, op9_language_id, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
