@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import decontaminate, language_id, mixing, pivot_search, secret_scan, sharding, simhash, suffix_dedup, token_counts
+from timberline.llm import decontaminate, language_id, mixing, pii, pivot_search, secret_scan, sharding, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_pivot_search, op4_secret_scan, op5_suffix_dedup, op6_token_counts, op8_mixing, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_pivot_search, op4_secret_scan, op5_suffix_dedup, op6_token_counts, op7_pii, op8_mixing, op9_language_id, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
