@@ -1 +1,20 @@
+"""SQL functions of the engine, for use in spark.sql: expressions, no Python at run time, and one table function."""
 
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+FUNCTIONS = {
+    "log_tokens": ("content STRING", "ARRAY<STRING>", r"regexp_extract_all(content, '[^ \\t:=,\\n]+|[ \\t:=,\\n]', 0)"),
+    "log_mask": ("toks ARRAY<STRING>", "ARRAY<STRING>", r"transform(toks, t -> CASE WHEN t RLIKE '^[0-9]+$' OR t RLIKE '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+' THEN '<*>' ELSE t END)"),
+    "zigzag": ("n BIGINT", "BIGINT", "shiftleft(n, 1) ^ shiftright(n, 63)"),
+    "unzigzag": ("z BIGINT", "BIGINT", "shiftrightunsigned(z, 1) ^ -(z & 1L)"),
+    "varint_len": ("z BIGINT", "INT", "CASE " + " ".join(f"WHEN z < {1 << 7 * k}L THEN {k}" for k in range(1, 9)) + " ELSE 9 END"),
+}
+
+
+def register(spark: SparkSession) -> list[str]:
+    """Create the temporary functions in the session; their names."""
+    for name, (arguments, returns, body) in FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
+    return list(FUNCTIONS)
