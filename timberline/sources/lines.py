@@ -14,7 +14,7 @@ from timberline.config import LogConfig
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line, final_newline) of the files under path. A file is one row before it is split."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "ISO-8859-1").alias("text"))
     ends = F.col("text").endswith("\n")
     parts = F.split("text", "\n", -1)
     kept = F.when(ends, F.slice(parts, F.lit(1), F.size(parts) - 1)).when(F.length("text") == 0, F.slice(parts, F.lit(1), F.lit(0))).otherwise(parts)
