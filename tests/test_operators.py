@@ -203,3 +203,30 @@ def test_presets():
     assert preset("Hadoop").head_slots == 3 and len(PRESETS) == 16
     with pytest.raises(ValueError):
         LogConfig(level="X")
+
+
+def test_rules_of_a_table(spark, tmp_path):
+    from timberline.plans.pipeline import rules_of_table
+
+    rows = "\n".join(["n,a,b,c", *[f"{i},{i * 7},{i * 7 + 5},{i * i % 37}" for i in range(200)]])
+    (tmp_path / "p.csv").write_text(rows)
+    table = spark.read.csv(str(tmp_path / "p.csv"), header=True).selectExpr("CAST(n AS BIGINT) n", "a", "b", "c")
+    found = rules_of_table(table, "n", LogConfig())
+    assert set(found) == {"a", "b"} and any("do" in r or "up" in r or " - " in r for r in found.values())
+
+
+def test_dictionary(spark):
+    from timberline.operators.variables import dictionary
+
+    df = spark.createDataFrame([(0, 0, "b"), (0, 1, "a"), (0, 2, "b"), (1, 3, "a")], "k long, o long, v string")
+    assert sorted(tuple(r) for r in dictionary(df, ["k"], "v", "o").collect()) == [(0, "a", 1), (0, "b", 0), (1, "a", 0)]
+
+
+def test_command_line(spark, tmp_path):
+    from timberline.__main__ import main
+
+    texts = "".join(f"t{i} INFO x job={i} took {i * 2}\n" for i in range(50))
+    (tmp_path / "a.log").write_text(texts)
+    for args in (f"train -I {tmp_path}/a.log -T {tmp_path}/m -L 2", f"compress -I {tmp_path}/a.log -T {tmp_path}/m -O {tmp_path}/z -L 2 -B 20", f"restore -I {tmp_path}/z -T {tmp_path}/m -O {tmp_path}/r -L 2 -B 20"):
+        main(args.split(), spark)
+    assert "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part*"))) == texts

@@ -133,3 +133,23 @@ def test_unknown_lines_fail_to_match_and_come_back(spark):
     assert [r["line"] for r in pipeline.restore(pipeline.compress(lines, model, config), model, config).orderBy("line_no").collect()] == texts
     failed = pipeline.failures(pipeline.parse(lines, model, config)).collect()
     assert {r["kind"] for r in failed} == {"match", "load"}
+
+
+def test_sources_agree_on_order(spark, tmp_path):
+    from timberline.sources.lines import block_range, read_lines, read_segments, read_text_lines, sample_blocks, with_blocks
+
+    texts = log(500)
+    (tmp_path / "0.col").write_text("\n".join(texts) + "\n")
+    (tmp_path / "1.col").write_text("\n".join(texts[:7]) + "\n")
+    one = [r["line"] for r in read_lines(spark, str(tmp_path)).orderBy("file", "line_no").collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        two = [r["line"] for r in read_text_lines(spark, str(tmp_path)).orderBy("file", "line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert one == two == texts + texts[:7]
+    assert sorted(r["block_id"] for r in read_segments(spark, str(tmp_path)).select("block_id").distinct().collect()) == [0, 1]
+    lines = with_blocks(lines_of(spark, texts), 50)
+    assert block_range(lines, 2, 3).count() == 100
+    assert sample_blocks(lines, LogConfig(sample_least=3, sample_rate=0.0)).count() == 60
+    assert sample_blocks(lines_of(spark, texts[:10]), LogConfig()).count() == 10

@@ -32,7 +32,3 @@ def undo_forward(u: str, keys: list[str], order: list[str]) -> Column:
     rest = window(keys, order).rowsBetween(W.currentRow, W.unboundedFollowing)
     return 2 * F.last(u).over(rest) - F.sum(u).over(rest)
 
-
-def first_seen(keys: list[str], value: str, order: str) -> tuple[str, Column]:
-    """Dictionary ordinals are dense ranks of a value's first place: (name of that place, its expression, to be ranked)."""
-    return "first_at", F.min(order).over(W.partitionBy(*keys, value))

@@ -42,3 +42,10 @@ def small_groups(variables: DataFrame, keys: list[str], least: int) -> DataFrame
     """(keys, eid, n, bypass): whether a template has too few rows in a block for its rules."""
     counted = variables.where("pos = 0").groupBy(*keys, "eid").agg(F.count("*").alias("n"))
     return counted.withColumn("bypass", F.col("n") < least)
+
+
+def dictionary(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """(keys, value, dict_id): ordinals from 0 by a value's first place within keys. Ranks run over distinct values only."""
+    first = rows.groupBy(*keys, value).agg(F.min(order).alias("first"))
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("first", value)) - 1
+    return first.select(*keys, value, nth.alias("dict_id"))

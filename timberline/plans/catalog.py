@@ -469,9 +469,7 @@ d AS (SELECT block_id, val, CAST(row_number() OVER (PARTITION BY block_id ORDER
 
 def _dictionary(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     p = sources.with_blocks(views.order_log(spark, sf_dir), 2_000).select("block_id", "line_no", F.regexp_extract("line", "^[^ ]+ ([^ ]+)", 1).alias("val"))
-    first = p.groupBy("block_id", "val").agg(F.min("line_no").alias("first"))
-    nth = F.row_number().over(W.partitionBy("block_id").orderBy("first")) - 1
-    return p, first.select("block_id", "val", nth.alias("dict_id"))
+    return p, variables.dictionary(p, BLOCK, "val", "line_no")
 
 
 @query(f"WITH {DICTIONARY} SELECT block_id, val, dict_id FROM d")

@@ -101,6 +101,15 @@ def find_rules(matched: DataFrame, config: LogConfig) -> dict[int, tuple[list[st
     return out
 
 
+def rules_of_table(table: DataFrame, order: str, config: LogConfig) -> dict[str, str]:
+    """Rules for a plain table of parameters (say, a CSV of strings): new column -> its difference of forms, in order."""
+    columns = [c for c in table.columns if c != order]
+    rows = table.select(F.lit("").alias("file"), F.lit(0).cast("long").alias("block_id"), F.lit(1).alias("eid"), F.col(order).alias("rec_id"), F.array(*[F.col(c).cast("string") for c in columns]).alias("vars"))
+    found = find_rules(rows, config).get(1, ([], []))[1]
+    name = lambda f: "_".join(x for x in (columns[int(f.base)], f.kind if f.kind != rules.RAW else "", columns[int(f.ident)] if f.ident else "") if x)
+    return {columns[int(new)]: " - ".join(map(name, c)) for new, c in found}
+
+
 def _ints(v: list) -> np.ndarray | None:
     """Values as integers if each prints again as it was."""
     try:

@@ -24,10 +24,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """The same for files that are too large for one row, of UTF-8 text without carriage returns: one range of a file a task.
 
-    line_no orders lines within a file and is not dense.
+    line_no orders lines within a file and is not dense: the range's first byte and the line's number in its task. A line
+    has a byte at least, so the numbers of a range stay below the start of the next.
     """
     rows = spark.read.option("lineSep", "\n").text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * 2**20 + F.monotonically_increasing_id() % 2**20).alias("line_no"), F.col("value").alias("line"), F.lit(True).alias("final_newline"))
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + nth).alias("line_no"), F.col("value").alias("line"), F.lit(True).alias("final_newline"))
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
