@@ -52,4 +52,34 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_pivot_search, op4_secret_scan, op5_suffix_dedup, op6_token_counts, op7_pii, op8_mixing, op9_language_id, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+# The other operators hash with XXH64, give code-point spans of the method's own kinds, or iterate: tests/llm holds them
+# against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS k FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, w[i : i + k - 1] AS x FROM sized s, LATERAL (SELECT unnest(range(1, len(s.w) - s.k + 2)) AS i) u),
+lengths AS (SELECT DISTINCT k FROM windows),
+each AS (SELECT doc_id, w, k FROM words, lengths),
+runs AS (SELECT doc_id, k, i, w[i : i + k - 1] AS x FROM each e, LATERAL (SELECT unnest(range(1, len(e.w) - e.k + 2)) AS i) u),
+hits AS (SELECT doc_id, r.k, i, item_id FROM runs r JOIN windows USING (k, x)),
+covered AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM (SELECT DISTINCT doc_id, k, i FROM hits) h, LATERAL (SELECT unnest(range(0, h.k)) AS o) u GROUP BY 1),
+named AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS names FROM hits GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(names), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op3_pivot_search": """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM good q JOIN good c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
+}
