@@ -9,14 +9,14 @@ The model is fitted on a bounded sample of the labelled training rows: `SAMPLE`
 the id, so it behaves alike at every size. It keeps the `WORDS` most frequent words and `GRAMS` most frequent n-grams of
 each length and language, so what is broadcast is bounded too. Every document is predicted from its whole text alone.
 
-Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null text or language do not train. With
+Nulls: a null text, or one without a letter, is `und` with score 0. Letters that no language has get the
+first language by name with an even score. Rows with a null text or language do not train. With
 nothing to learn from (an empty table, no labels), every text is `und`. Repeated rows repeat.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 
 from timberline.llm.common import map_texts
 
-SAMPLE = 16_000
+SAMPLE = 8_000
 WORDS = 20_000
 GRAMS = 10_000
 LONGEST = 5
@@ -33,6 +33,8 @@ LONGEST = 5
 SMOOTH = 0.5
 #: The evidence counts as if from so many words at most.
 TEMPER = 12.0
+#: Tokens that a worker remembers; the table starts anew when full.
+MEMO = 1 << 17
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -41,20 +43,18 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def count_batch(texts: list) -> list[tuple]:
-    """Of each text: its words and n-grams with counts, as (size of the n-gram or 0 for a word, gram, count)."""
-    out = []
-    for t in texts:
-        words = Counter(LETTERS.findall(t.lower())) if t else Counter()
-        found = [(0, w, n) for w, n in words.items()]
-        grams: Counter = Counter()
-        for w, n in words.items():
-            w = f"^{w[:64]}$"
-            for k in range(1, LONGEST + 1):
-                for i in range(len(w) - k + 1):
-                    grams[w[i : i + k]] += n
-        out.append((found + [(len(g), g, n) for g, n in grams.items()],))
-    return out
+def count_grams(texts: DataFrame) -> DataFrame:
+    """texts (lang, text) -> (lang, size, gram, n): words (size 0) and their n-grams; n-grams are cut from distinct words."""
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("gram")
+    words = texts.select("lang", found).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    marked = words.select("lang", "n", F.concat(F.lit("^"), F.substring("gram", 1, 64), F.lit("$")).alias("w"))
+
+    def cut(k: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length("w") - k + 1), lambda i: F.struct(k.alias("size"), F.substring(F.col("w"), i, k).alias("gram")))
+
+    sizes = F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("w")))
+    grams = marked.select("lang", "n", F.inline(F.flatten(F.transform(sizes, cut)))).groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    return words.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(grams)
 
 
 class Model:
@@ -90,28 +90,50 @@ class Model:
                 at += 1
         return total / used if used else None
 
-    def predict(self, text: str | None, memo: dict) -> tuple[str, float]:
-        words = Counter(LETTERS.findall(text.lower())) if text else None
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        total, seen = np.zeros(len(self.languages)), 0
-        for w, n in words.items():
+    def token(self, token: str) -> tuple[np.ndarray, int, int]:
+        """What a run without white space adds, how many of its words the model knows something of, and its words."""
+        total, seen, n = np.zeros(len(self.languages)), 0, 0
+        for w in LETTERS.findall(token):
+            n += any(map(str.isalpha, w))
             row = self.words.get(w)
             if row is None:
-                if w not in memo:
-                    if len(memo) >= 1 << 16:
-                        memo.clear()
-                    memo[w] = self.back_off(w)
-                row = memo[w]
+                row = self.back_off(w)
             if row is not None:
-                total += row * n
-                seen += n
-        if not seen:
+                total += row
+                seen += 1
+        return total, seen, n
+
+
+class Scorer(dict):
+    """token -> its row in a table that grows as tokens come, so that a text is scored by one gather and sum."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.rows = model, np.zeros((MEMO + 1, len(model.languages) + 2), dtype=np.float32)
+
+    def __missing__(self, token: str) -> int:
+        total, seen, words = self.model.token(token)
+        self[token] = n = len(self)
+        self.rows[n, :-2], self.rows[n, -2], self.rows[n, -1] = total, seen, words
+        return n
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        if not text or not self.model.languages:
             return UNKNOWN, 0.0
-        total *= min(1.0, TEMPER / seen)
+        total = np.zeros(len(self.model.languages) + 2)
+        tokens = text.lower().split()
+        for a in range(0, len(tokens), MEMO // 2):
+            part = tokens[a : a + MEMO // 2]
+            if len(self) + len(part) > MEMO:
+                self.clear()
+            total += self.rows[np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0, dtype=np.float64)
+        total, seen, words = total[:-2], total[-2], total[-1]
+        if not words:
+            return UNKNOWN, 0.0
+        total *= min(1.0, TEMPER / max(seen, 1.0))
         odds = np.exp(total - total.max())
-        best = int(odds.argmax())  # ties go to the first language by name
-        return self.languages[best], float(odds[best] / odds.sum())
+        best = int(odds.argmax())  # ties, and letters that no language has, go to the first language by name
+        return self.model.languages[best], float(odds[best] / odds.sum())
 
 
 def fit(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
@@ -120,9 +142,7 @@ def fit(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "
     n = labelled.count()  # reads no texts
     if n > sample:
         labelled = labelled.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    labelled = labelled.where(F.col(text).isNotNull())
-    grams = map_texts(labelled, text, {"lang": lang}, "grams array<struct<size:int,gram:string,n:int>>", lambda: count_batch)
-    counts = grams.select("lang", F.inline("grams")).groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    counts = count_grams(labelled.where(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")))
     nth = F.row_number().over(W.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
     most = F.when(F.col("size") == 0, WORDS).otherwise(GRAMS)
     kept = counts.where("n > 1 OR size < 3").withColumn("nth", nth).where(F.col("nth") <= most)
@@ -134,12 +154,23 @@ def predict_languages(docs: DataFrame, model: Model, keep: dict[str, str], text:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        own, memo = shared.value, {}
-        return lambda texts: [own.predict(t, memo) for t in texts]
+        scorer = Scorer(shared.value)
+        return lambda texts: [scorer.predict(t) for t in texts]
 
     return map_texts(docs, text, keep, "lang_pred string, score double", make)
 
 
+def keep_confident(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """docs without the rows whose language is unknown or told with a lower score, with the same columns. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scorer = Scorer(shared.value)
+        return lambda texts: [(lang != UNKNOWN and score >= least,) for lang, score in map(scorer.predict, texts)]
+
+    return map_texts(docs, text, {c: c for c in docs.columns}, "__kept boolean", make).where("__kept").select(*docs.columns)
+
+
 def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score. Learns from rows that are not held out."""
     model = fit(docs, ~held_out(F.col(doc_id)), doc_id, text, lang)
