@@ -7,8 +7,10 @@ executor costs a re-read and not a recomputation of everything before.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from collections.abc import Callable, Iterator
@@ -46,8 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now instead of at the driver's next collection."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished jobs now instead of at the driver's next collection.
+
+    The cleaner works by reachability: plans that Python still holds in cycles must go first, and the files go shortly
+    after. Without this, a long operator keeps all its stages' files until it ends.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
