@@ -171,3 +171,12 @@ def smallest_capacity(sizes, shards):
         if n <= shards:
             return c
     return 0
+
+
+def shingles(text, n=5):
+    w = [x for x in re.split(rb"[\x20\x09-\x0d]+", (text or "").translate(LOWER).encode()) if x]
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0

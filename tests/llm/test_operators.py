@@ -112,6 +112,46 @@ def test_one_of_each_component_stays(spark, edges, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_similar_texts_are_one_group(spark, edges, none):
+    r = random.Random(11)
+    rows, groups = [], []
+    for g in range(60):
+        words = [f"w{r.randrange(2000)}" for _ in range(r.choice([120, 300, 700]))]
+        own = []
+        for _ in range(r.choice([1, 1, 2, 5])):
+            w = list(words)
+            for _ in range(len(w) // 150):  # similarity about 0.93
+                w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+            own.append(len(rows))
+            rows.append((len(rows), " ".join(w)))
+        groups.append(own)
+    hot = [f"h{r.randrange(2000)}" for _ in range(400)]
+    groups.append(list(range(len(rows), len(rows) + 200)))
+    for _ in range(200):
+        w = list(hot)
+        w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+        rows.append((len(rows), " ".join(w)))
+    left = sorted(x["doc_id"] for x in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert set(min(g) for g in groups) <= set(left)
+    assert len(left) <= len(groups) + 2
+    kept = simhash.keep_one_similar(edges[0])
+    assert kept.columns == edges[0].columns
+    sets = [(d, brute.shingles(t)) for d, t in edges[1]]
+    stayed = kept.collect()
+    ids = {x["doc_id"] for x in stayed}
+    for d, s in sets:
+        others = [e for e, o in sets if e != d and brute.jaccard(s, o) >= 0.75]
+        assert d in ids or others  # what has nothing like it stays
+    assert sum(not brute.shingles(x["text"]) for x in stayed) <= 1
+    assert simhash.keep_one_similar(none).count() == 0
+
+
+def test_likeness_is_jaccard_of_small_sets():
+    a, b = "a b c d e f g h i j k l", "a b c d e f g h i j k x"
+    assert abs(simhash.likeness(simhash.describe(a)[2], simhash.describe(b)[2]) - brute.jaccard(brute.shingles(a), brute.shingles(b))) < 1e-9
+    assert simhash.likeness(b"", b"") == 1.0 and simhash.describe(None) == simhash.describe(" ")
+
+
 def test_pivots_never_discard_a_near_pair():
     r = random.Random(1)
     for _ in range(2000):

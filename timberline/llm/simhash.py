@@ -23,6 +23,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,28 +114,131 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component and the same columns: the smallest id, then the smallest hash of the text.
+def keep_heads(docs: DataFrame, rows: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """docs with one row of each component: the smallest id, then the smallest hash of the text.
 
-    The texts are not shuffled for documents that are told apart by id: the rows that go are written first and joined
-    against. Rows that agree in id and text are cut down to one by a window over those rows alone.
+    docs have __hash; rows are (doc_id, hash, node) of theirs; found is (node, root, component_id, n). The texts are not
+    grouped: the rows that go are written first and joined against. Rows that agree in id and text are cut down to one by
+    a window over those rows alone.
     """
-    keyed = docs.select("*", F.xxhash64(F.col(text)).alias("__hash"))
-    rows = materialize(fingerprints(keyed, {"doc_id": doc_id, "hash": "__hash"}, text), "fingerprints")
-    found = materialize(classes(rows.select("doc_id", "fp")), "components")
-    release_shuffles(docs.sparkSession)
-    placed = materialize(lookup_hot(rows, found, "fp", "n", rows.count()), "placed")
+    columns = [c for c in docs.columns if c != "__hash"]
+    placed = materialize(lookup_hot(rows, found, "node", "n", rows.count()), "placed")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     heads = placed.where(first).groupBy("root").agg(F.min("hash").alias("head"))
     others = placed.where(first).join(heads, "root").where("hash <> head")
     gone = placed.where(~first).select("doc_id", "hash").unionAll(others.select("doc_id", "hash")).distinct()
     gone = materialize(gone.select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__text")), "gone")
-    left = keyed.join(gone, keyed[doc_id].eqNullSafe(F.col("__gone")) & (F.col("__hash") == F.col("__text")), "left_anti")
+    left = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__gone")) & (F.col("__hash") == F.col("__text")), "left_anti")
     again = placed.where(first).groupBy("doc_id", "hash").count().where("count > 1").select(F.col("doc_id").alias("__again"), F.col("hash").alias("__text"))
     again = materialize(again, "again")
     if again.isEmpty():
-        return left.select(*docs.columns)
+        return left.select(*columns)
     same = left[doc_id].eqNullSafe(F.col("__again")) & (F.col("__hash") == F.col("__text"))
     nth = F.row_number().over(W.partitionBy(doc_id, "__hash").orderBy("__hash"))
     once = left.join(again, same, "left_semi").withColumn("__nth", nth).where("__nth = 1")
-    return left.join(again, same, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return left.join(again, same, "left_anti").select(*columns).unionByName(once.select(*columns))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component of near_duplicates and the same columns."""
+    keyed = docs.select("*", F.xxhash64(F.col(text)).alias("__hash"))
+    rows = materialize(fingerprints(keyed, {"doc_id": doc_id, "hash": "__hash"}, text).withColumnRenamed("fp", "node"), "fingerprints")
+    found = materialize(classes(rows.select("doc_id", F.col("node").alias("fp"))).withColumnRenamed("fp", "node"), "components")
+    release_shuffles(docs.sparkSession)
+    return keep_heads(keyed, rows, found, doc_id)
+
+
+# Near copies in the wider sense: five words, similarity 0.8. Their fingerprints differ in up to a fifth of the bits, where
+# no segment need agree. Pairs meet in TABLES tables of sampled bits; in each, a text meets the smallest text that shares
+# its key and, where few do, the next ones by pivot distance. So a group makes a few pairs a text and table, however large it is.
+# Pivots and Hamming distance discard, a sketch of the shingles verifies. A second round does the same with one text of each
+# group found so far. Pairs may be missed: the chance falls with the similarity (README).
+WORDS, SIMILARITY, REACH, TABLES, FEW, NEAREST, SKETCH = 5, 0.8, 14, 96, 8, 8, 512
+
+
+def describe(text: str | None) -> tuple[int, int, bytes]:
+    """(node: hash of the words, fingerprint of the distinct shingles, the SKETCH smallest 32-bit hashes of shingles)."""
+    words = text.encode().lower().split() if text else []
+    node = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    digest = xxhash.xxh64_intdigest
+    hashes = {digest(b" ".join(words[i : i + WORDS]), SEED) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
+    values = np.fromiter(hashes, dtype=np.uint64, count=len(hashes)).astype(">u8")
+    total = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(values), CHUNK):
+        total += np.unpackbits(values[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    least = np.unique(values.astype(np.uint32))[:SKETCH]
+    return int(np.uint64(node).astype(np.int64)), int(np.packbits(total * 2 > len(values)).view(">i8")[0]), least.tobytes()
+
+
+def likeness(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of shingles from their sketches; exact for sets of up to SKETCH."""
+    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+    both = np.union1d(x, y)[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True)).mean()) if len(both) else 1.0
+
+
+def masks(bits: int) -> list[int]:
+    """TABLES choices of so many bit places, the same in every run."""
+    r = np.random.default_rng(SEED)
+    return [int(np.bitwise_or.reduce(np.uint64(1) << r.choice(64, bits, replace=False).astype(np.uint64)).astype(np.int64)) for _ in range(TABLES)]
+
+
+def close_pairs(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes (node, fp), n of them -> (a, b), a > b: up to NEAREST candidates b of each a within REACH bits."""
+    bits = min(40, max(8, int(np.ceil(np.log2(max(n, 2)))) + 1))
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(bits))])).alias("key")
+    at = F.struct("node", "fp")
+    own = W.partitionBy("key")
+    turn = own.orderBy(bits_between(F.col("fp"), F.lit(pivots(1)[0])), "node")
+    met = nodes.select("node", "fp", keys).select(
+        "node", "fp", F.count("*").over(own).alias("n"), F.min(at).over(own).alias("first"), *[F.lead(at, i).over(turn).alias(f"next{i}") for i in (1, 2, 3)]
+    )
+    few = F.array("first", "next1", "next2", "next3")
+    pairs = met.where("n > 1").select("node", "fp", F.explode(F.when(F.col("n") <= FEW, few).otherwise(F.array("first"))).alias("o")).where("o.node <> node")
+    table = [F.abs(bits_between(F.col("fp"), F.lit(p)) - bits_between(F.col("o.fp"), F.lit(p))) for p in pivots()]
+    near = pairs.where((F.greatest(*table) <= REACH) & (bits_between(F.col("fp"), F.col("o.fp")) <= REACH))
+    each = near.select(F.greatest("node", "o.node").alias("a"), F.least("node", "o.node").alias("b"), bits_between(F.col("fp"), F.col("o.fp")).alias("d"))
+    nth = F.row_number().over(W.partitionBy("a").orderBy("d", "b"))
+    return each.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("nth", nth).where(F.col("nth") <= NEAREST).select("a", "b")
+
+
+def verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches (node, sketch) are alike."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            alike = [likeness(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    one = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("s"))
+    two = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("t"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies (five-word shingles, similarity SIMILARITY) and the same columns.
+
+    Texts of the same words are one node. Texts without words are one group.
+    """
+
+    def make():
+        return lambda texts: [describe(t) for t in texts]
+
+    keyed = docs.select("*", F.xxhash64(F.col(text)).alias("__hash"))
+    rows = materialize(map_texts(keyed, text, {"doc_id": doc_id, "hash": "__hash"}, "node long, fp long, sketch binary", make), "described")
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    nodes = materialize(nodes, "nodes")
+    n, roots, edges = nodes.count(), nodes.select("node", "fp"), None
+    for _ in range(2):
+        found = materialize(verified(materialize(close_pairs(roots, n), "pairs"), nodes.select("node", "sketch")), "alike")
+        edges = found if edges is None else edges.unionAll(found)
+        linked = connected_components(edges)
+        release_shuffles(docs.sparkSession)
+        if found.isEmpty():
+            break
+        roots = nodes.select("node", "fp").join(linked.where("node <> root").select("node"), "node", "left_anti")
+    rooted = materialize(nodes.select("node", "least", "n").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = materialize(rooted.join(least, "root").select("node", "root", "component_id", "n"), "components")
+    return keep_heads(keyed, rows.select("doc_id", "hash", "node"), found, doc_id)
