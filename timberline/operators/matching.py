@@ -1,4 +1,4 @@
-"""Template match: a broadcast hash join on the token count and an anchor, first template by order."""
+"""Template match: broadcast hash joins on the token count and the first token, first template by order."""
 
 from __future__ import annotations
 
@@ -20,14 +20,19 @@ def template_table(spark: SparkSession, templates: list[tuple[int, int, list[str
 def match(parsed: DataFrame, templates: DataFrame, config: LogConfig) -> DataFrame:
     """parsed (.., status, toks) -> with eid and vars: eid > 0 matched, 0 match failed, -1 load failed.
 
-    Templates of one length are one row of the broadcast side, in order, so a record joins once and no aggregation has
-    to pick among several hits; the first that fits is found inside the row. Templates are at most a few thousand.
+    Templates of one length and first token are one row of the broadcast side, in order, and those that begin with a
+    wildcard are a row for each length. So a record meets two rows and no aggregation has to pick among several hits; the
+    first that fits is found inside them. Templates are at most a few thousand.
     """
-    by_length = templates.groupBy("n_tokens").agg(F.array_sort(F.collect_list(F.struct("ord", "eid", "tokens", "n_vars"))).alias("bucket"))
-    joined = parsed.withColumn("n_tokens", F.size("toks")).join(F.broadcast(by_length), "n_tokens", "left")
+    anchor = F.get("tokens", F.lit(0))
+    bucket = F.array_sort(F.collect_list(F.struct("ord", "eid", "tokens", "n_vars")))
+    fixed = templates.where(anchor != tk.WILD).groupBy("n_tokens", anchor.alias("anchor")).agg(bucket.alias("fixed"))
+    free = templates.where(F.coalesce(anchor, F.lit(tk.WILD)) == tk.WILD).groupBy("n_tokens").agg(bucket.alias("free"))
+    joined = parsed.withColumn("n_tokens", F.size("toks")).withColumn("anchor", F.get("toks", F.lit(0)))
+    joined = joined.join(F.broadcast(fixed), ["n_tokens", "anchor"], "left").join(F.broadcast(free), "n_tokens", "left")
     ok = F.col("status") == "ok"
-    hit = F.get(F.filter("bucket", lambda t: tk.fits(F.col("toks"), t["tokens"])), F.lit(0))
-    found = joined.withColumn("hit", F.when(ok & (F.col("n_tokens") < config.max_tokens), hit))
+    first = [F.get(F.filter(b, lambda t: tk.fits(F.col("toks"), t["tokens"])), F.lit(0)) for b in ("fixed", "free")]
+    found = joined.withColumn("hit", F.when(ok & (F.col("n_tokens") < config.max_tokens), F.least(*first)))
     final = (
         F.when(~ok, F.col("status"))
         .when(F.col("n_tokens") >= config.max_tokens, "load_failed:too_many_token")
@@ -38,7 +43,7 @@ def match(parsed: DataFrame, templates: DataFrame, config: LogConfig) -> DataFra
     found = found.withColumn("status", final)
     eid = F.when(F.col("status") == "ok", F.col("hit.eid")).when(F.col("status") == "match_failed", 0).otherwise(-1)
     values = F.when(F.col("status") == "ok", tk.variables(F.col("toks"), F.col("hit.tokens")))
-    return found.withColumn("eid", eid.cast("int")).withColumn("vars", values).drop("hit", "bucket")
+    return found.withColumn("eid", eid.cast("int")).withColumn("vars", values).drop("hit", "fixed", "free", "anchor")
 
 
 def masked_templates(parsed: DataFrame, least: int = 2) -> list[tuple[int, int, list[str], int]]:
