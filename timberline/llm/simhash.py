@@ -185,15 +185,15 @@ def masks(bits: int) -> list[int]:
 
 def close_pairs(nodes: DataFrame, n: int) -> DataFrame:
     """nodes (node, fp), n of them -> (a, b), a > b: up to NEAREST candidates b of each a within REACH bits."""
-    bits = min(40, max(8, int(np.ceil(np.log2(max(n, 2)))) + 1))
+    bits = min(40, max(8, int(np.ceil(np.log2(max(n, 2))))))
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(bits))])).alias("key")
     at = F.struct("node", "fp")
     own = W.partitionBy("key")
     turn = own.orderBy(bits_between(F.col("fp"), F.lit(pivots(1)[0])), "node")
     met = nodes.select("node", "fp", keys).select(
-        "node", "fp", F.count("*").over(own).alias("n"), F.min(at).over(own).alias("first"), *[F.lead(at, i).over(turn).alias(f"next{i}") for i in (1, 2, 3)]
+        "node", "fp", F.count("*").over(own).alias("n"), F.min(at).over(own).alias("first"), *[F.lead(at, i).over(turn).alias(f"next{i}") for i in (1, 2, 3, 4)]
     )
-    few = F.array("first", "next1", "next2", "next3")
+    few = F.array("first", "next1", "next2", "next3", "next4")
     pairs = met.where("n > 1").select("node", "fp", F.explode(F.when(F.col("n") <= FEW, few).otherwise(F.array("first"))).alias("o")).where("o.node <> node")
     table = [F.abs(bits_between(F.col("fp"), F.lit(p)) - bits_between(F.col("o.fp"), F.lit(p))) for p in pivots()]
     near = pairs.where((F.greatest(*table) <= REACH) & (bits_between(F.col("fp"), F.col("o.fp")) <= REACH))
