@@ -260,6 +260,31 @@ def template_usage(spark, sf_dir):
     return matching.usage(matched_events(spark, sf_dir, WIDE))
 
 
+@query(f"{SHAPED} SELECT DISTINCT CASE WHEN k = '7' THEN 1 WHEN k = '42' THEN 2 ELSE 0 END AS eid FROM s")
+def event_ids(spark, sf_dir):
+    return matched_events(spark, sf_dir, FIXED).select("eid").distinct()
+
+
+@query(f"{SHAPED} SELECT line_no, 'user=<*> k=' || CASE WHEN k = '7' THEN '7' ELSE '<*>' END || ' cents=<*> id=<*>' AS merged, round((4 + CASE WHEN k = '7' THEN 1 ELSE 0 END) / 15.0::DOUBLE, 4) AS likeness FROM s")
+def template_merge(spark, sf_dir):
+    template = F.lit(FIXED[0][2])
+    e = event_tokens(spark, sf_dir)
+    return e.select("line_no", F.array_join(tk.merge(template, F.col("toks")), "").alias("merged"), F.round(tk.distance(template, F.col("toks")), 4).alias("likeness"))
+
+
+@query(f"{SHAPED} SELECT line_no, array_to_string(toks, '') AS content FROM s WHERE k <> '7'")
+def record_rebuild(spark, sf_dir):
+    m = matched_events(spark, sf_dir, WIDE).where("eid = 2")
+    return m.select("line_no", tk.rebuild(F.lit(CONTENT), F.col("vars")).alias("content"))
+
+
+@query(f"{SHAPED} SELECT block_id, line_no, CASE WHEN k IN ('7', '42') THEN 'matched' ELSE 'match' END AS stream, line FROM s WHERE block_id < 3")
+def stream_merge(spark, sf_dir):
+    m = matched_events(spark, sf_dir, FIXED).where("block_id < 3")
+    good = m.where("eid > 0").select("block_id", "line_no", F.lit("matched").alias("stream"), "line")
+    return good.unionByName(m.where("eid = 0").select("block_id", "line_no", F.lit("match").alias("stream"), "line"))
+
+
 # ---- variables
 
 
