@@ -38,8 +38,8 @@ LENGTH, K = 50, 24
 #: Bytes before an anchor that a string with this anchor can start at, and bytes of a context.
 BACK = LENGTH - K
 WIDTH = BACK + LENGTH
-#: Bytes hashed at once (with 21 bits for a place), contexts of a bucket, most buckets, suffixes sampled for splitters.
-SEGMENT, BUCKET, MOST_BUCKETS, SAMPLE = 1 << 20, 150_000, 1 << 16, 40_000
+#: Bytes hashed at once (with 21 bits for a place), contexts of a bucket, most buckets, most suffixes sampled for splitters.
+SEGMENT, BUCKET, MOST_BUCKETS, SAMPLE = 1 << 20, 1 << 15, 1 << 16, 1 << 19
 
 BASE = 0x9E3779B97F4A7C15
 LOW = np.uint64((1 << 21) - 1)
@@ -291,9 +291,10 @@ def sampled_splitters(docs: DataFrame, rows: int, buckets: int) -> np.ndarray:
             at = (offsets[doc] + pos)[:, None] + np.arange(8)[None, :]
             yield pa.RecordBatch.from_arrays([pa.array(tokens(data[at])[:, 0].view(np.int64)) if len(at) else pa.array([], pa.int64())], names=["token"])
 
-    share = min(1.0, 2000 / max(rows, 1))
-    some = docs.where(F.pmod(F.xxhash64("th"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("th", "text")
-    found = some.mapInArrow(lead, "token long").where(F.rand(7) < min(1.0, SAMPLE / (200 * share * max(rows, 1) + 1) + 0.05)).limit(4 * SAMPLE).toPandas()["token"].to_numpy().view(np.uint64)
+    want = min(SAMPLE, 32 * buckets)
+    share = min(1.0, max(500, want // 40) / max(rows, 1))  # documents with about a hundred anchors each
+    some = docs.where(F.pmod(F.xxhash64("th", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("th", "text")
+    found = some.mapInArrow(lead, "token long").limit(16 * want).toPandas()["token"].to_numpy().view(np.uint64)
     if not len(found):
         return np.empty(0, dtype=np.uint64)
     found = np.sort(found)
