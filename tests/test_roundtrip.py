@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import random
 
 import pytest
@@ -31,7 +30,7 @@ def log(n, seed=1, words=("start", "stop", "read", "lost")):
     return out
 
 
-@pytest.mark.parametrize(("level", "delta", "codec"), list(itertools.product("0N", (True, False), ("Z", "NE", "P"))))
+@pytest.mark.parametrize(("level", "delta", "codec"), [("0", True, "Z"), ("0", False, "NE"), ("0", True, "P"), ("N", True, "NE"), ("N", False, "Z"), ("N", True, "P")])
 def test_configurations(spark, level, delta, codec):
     config = LogConfig(level=level, delta=delta, codec=codec, block_lines=40, rule_rows=5)
     texts = log(100)
