@@ -152,8 +152,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 # no segment need agree. Pairs meet in TABLES tables of sampled bits; in each, a text meets the smallest text that shares
 # its key and, where few do, the next ones by pivot distance. So a group makes a few pairs a text and table, however large it is.
 # Pivots and Hamming distance discard, a sketch of the shingles verifies. A second round does the same with one text of each
-# group found so far. Pairs may be missed: the chance falls with the similarity (README).
-WORDS, SIMILARITY, REACH, TABLES, FEW, NEAREST, SKETCH = 5, 0.8, 14, 96, 8, 8, 512
+# group found so far, to join parts of large groups. Pairs may be missed: the chance falls with the similarity (README).
+WORDS, SIMILARITY, REACH, TABLES, FEW, NEAREST, SKETCH = 5, 0.8, 12, 96, 8, 8, 512
 
 
 def describe(text: str | None) -> tuple[int, int, bytes]:
@@ -229,15 +229,17 @@ def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = materialize(map_texts(keyed, text, {"doc_id": doc_id, "hash": "__hash"}, "node long, fp long, sketch binary", make), "described")
     nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
     nodes = materialize(nodes, "nodes")
-    n, roots, edges = nodes.count(), nodes.select("node", "fp"), None
-    for _ in range(2):
-        found = materialize(verified(materialize(close_pairs(roots, n), "pairs"), nodes.select("node", "sketch")), "alike")
-        edges = found if edges is None else edges.unionAll(found)
-        linked = connected_components(edges)
-        release_shuffles(docs.sparkSession)
-        if found.isEmpty():
-            break
-        roots = nodes.select("node", "fp").join(linked.where("node <> root").select("node"), "node", "left_anti")
+    n, sketches = nodes.count(), nodes.select("node", "sketch")
+    pairs = materialize(close_pairs(nodes, n), "pairs")
+    release_shuffles(docs.sparkSession)
+    edges = materialize(verified(pairs, sketches), "alike")
+    release_shuffles(docs.sparkSession)
+    linked = connected_components(edges)
+    roots = nodes.select("node", "fp").join(linked.select(F.col("root").alias("node")).distinct(), "node")
+    more = materialize(verified(materialize(close_pairs(roots, n), "pairs"), sketches), "alike")
+    if not more.isEmpty():
+        linked = connected_components(edges.unionAll(more))
+    release_shuffles(docs.sparkSession)
     rooted = materialize(nodes.select("node", "least", "n").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = materialize(rooted.join(least, "root").select("node", "root", "component_id", "n"), "components")
