@@ -5,9 +5,10 @@ positions chosen by content such that every string of LENGTH bytes holds at leas
 (the place of the smallest hash among the string's k-mers). About one byte in fourteen is an anchor.
 
 1. Anchors whose k-mer occurs in one text alone cannot be part of a repeat. One shuffle of (k-mer hash, text hash, place)
-   drops them; the window that finds them sorts and spills, so a frequent k-mer needs no memory.
+   drops them; the window that finds them sorts and spills, and what a batch knows to be shared takes no part in it but
+   for two rows, so a frequent k-mer is neither a hot key nor held in memory.
 2. For the anchors left, the suffix's leading bytes and the few bytes before it are shipped to buckets cut by sampled
-   splitters over the leading 8-byte token. Equal contexts of one batch are decided on the spot and only the earliest is
+   splitters over the leading three 8-byte tokens. Equal contexts of one batch are decided on the spot and only the earliest is
    shipped, so hot passages arrive once a batch.
 3. A bucket sorts its suffixes by multikey quicksort on 8-byte tokens, and what stands before them likewise, backwards.
    Neighbours' common lengths to both sides give, for each offset, the classes of equal strings; each class knows its
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -39,7 +41,7 @@ LENGTH, K = 50, 24
 BACK = LENGTH - K
 WIDTH = BACK + LENGTH
 #: Bytes hashed at once (with 21 bits for a place), contexts of a bucket, most buckets, most suffixes sampled for splitters.
-SEGMENT, BUCKET, MOST_BUCKETS, SAMPLE = 1 << 20, 1 << 15, 1 << 16, 1 << 19
+SEGMENT, BUCKET, MOST_BUCKETS, SAMPLE = 1 << 20, 1 << 15, 1 << 16, 1 << 17
 
 BASE = 0x9E3779B97F4A7C15
 LOW = np.uint64((1 << 21) - 1)
@@ -116,13 +118,38 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)), at
 
 
+def known_in_batch(h: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows whose h occurs with two th or more, those of them that need not be shipped to h: all but two of different th)."""
+    order = np.lexsort((th, h))
+    hs, ts = h[order], th[order]
+    new = np.append(True, hs[1:] != hs[:-1])
+    other = np.append(False, (hs[1:] == hs[:-1]) & (ts[1:] != ts[:-1]))  # the first row of another text of the same h
+    run = np.cumsum(new) - 1
+    several = np.bincount(run, weights=other, minlength=run[-1] + 1) > 0
+    seen = np.cumsum(other)
+    second = other & (seen - (seen - other)[np.flatnonzero(new)][run] == 1)
+    known, spare = np.empty(len(h), dtype=bool), np.empty(len(h), dtype=bool)
+    known[order] = several[run]
+    spare[order] = several[run] & ~new & ~second
+    return known, spare
+
+
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(th, text) -> (h, th, pos)."""
+    """(th, text) -> (key, th, pos, known).
+
+    The key is the k-mer's hash. Where the batch itself holds it in two texts, its rows are known to be shared: two of
+    them go to the hash, to tell other batches, and the rest get keys of their own, so a frequent k-mer is no hot key.
+    """
     for batch in batches:
         data, offsets = buffers(batch.column(1))
         doc, pos, h = anchors(data[: offsets[-1]], offsets)
-        th = batch.column(0).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(th[doc]), pa.array(pos.astype(np.int32))], names=["h", "th", "pos"])
+        th = batch.column(0).to_numpy()[doc]
+        known = np.zeros(len(h), dtype=bool)
+        if len(h):
+            known, spare = known_in_batch(h, th)
+            own = (th.view(np.uint64) ^ (pos.astype(np.uint64) * np.uint64(BASE))) * np.uint64(0xD6E8FEB86659FD93)
+            h = np.where(spare, own ^ (own >> np.uint64(31)), h)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(th), pa.array(pos.astype(np.int32)), pa.array(known)], names=["key", "th", "pos", "known"])
 
 
 def tokens(contexts: np.ndarray) -> np.ndarray:
@@ -133,6 +160,11 @@ def tokens(contexts: np.ndarray) -> np.ndarray:
     return out.view(">u8").astype(np.uint64)
 
 
+def leading(kmers: np.ndarray) -> np.ndarray:
+    """Rows of K bytes as strings to be compared whole."""
+    return np.ascontiguousarray(kmers).view(f"S{K}").ravel()
+
+
 def multikey_order(contexts: np.ndarray) -> np.ndarray:
     """The order of the rows: sorted by the first token, then runs of equal ones by the next, and so on."""
     parts = tokens(contexts)
@@ -233,11 +265,11 @@ def contexts_of(data, offsets, sizes, pos, doc, ids, marks, splitters) -> pa.Rec
     whole = np.ascontiguousarray(np.concatenate([ctx, left.astype(np.uint8)[:, None], right.astype(np.uint8)[:, None]], axis=1))
     _, first, same = np.unique(whole.view(f"V{WIDTH + 2}").ravel(), return_index=True, return_inverse=True)
     earlier = ids[doc] > ids[doc[first[same]]]  # the same bytes in an earlier document of this batch
-    bucket = np.searchsorted(splitters, tokens(ctx[:, BACK : BACK + 8])[:, 0], side="right")
+    bucket = np.searchsorted(splitters, leading(ctx[:, BACK : BACK + K]), side="right")
     keep = ~earlier | (left + right >= LENGTH)
     flat = np.ascontiguousarray(ctx)
     made = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(ctx), [None, pa.py_buffer(flat)]).cast(pa.binary())
-    made = pa.compute.if_else(pa.array(earlier), pa.scalar(None, pa.binary()), made)
+    made = pc.if_else(pa.array(earlier), pa.scalar(None, pa.binary()), made)
     out = pa.RecordBatch.from_arrays(
         [pa.array(bucket.astype(np.int32)), pa.array(ids[doc]), marks.take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), made],
         names=["bucket", "doc_id", "mark", "pos", "left", "right", "ctx"],
@@ -248,8 +280,8 @@ def contexts_of(data, offsets, sizes, pos, doc, ids, marks, splitters) -> pa.Rec
 def bucket_runs(table: pa.Table) -> pa.Table:
     """One bucket's contexts -> (doc_id, mark, a, b): bytes that go."""
     table = table.combine_chunks()
-    decided = table.filter(pa.compute.is_null(table["ctx"]))
-    rest = table.filter(pa.compute.is_valid(table["ctx"]))
+    decided = table.filter(pc.is_null(table["ctx"]))
+    rest = table.filter(pc.is_valid(table["ctx"]))
     made = [(decided, decided["pos"].to_numpy() - decided["left"].to_numpy(), decided["pos"].to_numpy() + decided["right"].to_numpy())]
     if rest.num_rows > 1:
         data = np.frombuffer(b"".join(rest["ctx"].to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
@@ -280,23 +312,23 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sampled_splitters(docs: DataFrame, rows: int, buckets: int) -> np.ndarray:
-    """Quantiles of the leading tokens of anchors in a bounded sample of documents."""
+    """Quantiles of the leading K bytes (three tokens) of anchors in a bounded sample of documents."""
     if buckets < 2:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=f"S{K}")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             doc, pos, _ = anchors(data[: offsets[-1]], offsets)
-            at = (offsets[doc] + pos)[:, None] + np.arange(8)[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens(data[at])[:, 0].view(np.int64)) if len(at) else pa.array([], pa.int64())], names=["token"])
+            at = (offsets[doc] + pos)[:, None] + np.arange(K)[None, :]
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(r) for r in data[at]], pa.binary())], names=["kmer"])
 
     want = min(SAMPLE, 32 * buckets)
     share = min(1.0, max(500, want // 40) / max(rows, 1))  # documents with about a hundred anchors each
     some = docs.where(F.pmod(F.xxhash64("th", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("th", "text")
-    found = some.mapInArrow(lead, "token long").limit(16 * want).toPandas()["token"].to_numpy().view(np.uint64)
+    found = np.array([bytes(x) for x in some.mapInArrow(lead, "kmer binary").limit(8 * want).toPandas()["kmer"]], dtype=f"S{K}")
     if not len(found):
-        return np.empty(0, dtype=np.uint64)
+        return found
     found = np.sort(found)
     return np.unique(found[np.linspace(0, len(found) - 1, buckets + 1).astype(np.int64)[1:-1]])
 
@@ -314,9 +346,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = materialize(first, "firsts")
 
     # 1. anchors of more than one text
-    group = W.partitionBy("h")
-    found = own.where("doc_id is not null").select("th", "text").mapInArrow(anchor_rows, "h long, th long, pos int")
-    shared = found.withColumn("low", F.min("th").over(group)).withColumn("high", F.max("th").over(group)).where("low < high")
+    group = W.partitionBy("key")
+    found = own.where("doc_id is not null").select("th", "text").mapInArrow(anchor_rows, "key long, th long, pos int, known boolean")
+    shared = found.withColumn("low", F.min("th").over(group)).withColumn("high", F.max("th").over(group)).where("known or low < high")
     places = materialize(shared.groupBy("th").agg(F.collect_set("pos").alias("positions")), "anchors")
     del found, shared
     release_shuffles(spark)
