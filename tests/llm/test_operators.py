@@ -152,6 +152,29 @@ def test_likeness_is_jaccard_of_small_sets():
     assert simhash.likeness(b"", b"") == 1.0 and simhash.describe(None) == simhash.describe(" ")
 
 
+def similar_left(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {x["doc_id"] for x in simhash.keep_one_similar(df).collect()}
+
+
+def altered(r, words, n):
+    """words with n single words changed, so far apart that each changes five shingles."""
+    w = list(words)
+    for i in r.sample(range(1, len(w) // 6 - 1), n):
+        w[6 * i] = f"v{r.randrange(10**9)}"
+    return w
+
+
+def test_copies_alike_only_through_the_original(spark):
+    r = random.Random(3)
+    words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(words)] + [" ".join(altered(r, words, 4)) for _ in range(300)]  # 0.82 to the original, below 0.8 to most others
+    sets = [brute.shingles(t) for t in texts]
+    assert all(brute.jaccard(sets[0], s) >= 0.8 for s in sets[1:])
+    assert sum(brute.jaccard(sets[i], sets[i + 1]) < 0.8 for i in range(1, 300)) > 250
+    assert similar_left(spark, texts) == {0}
+
+
 def test_pivots_never_discard_a_near_pair():
     r = random.Random(1)
     for _ in range(2000):

@@ -148,26 +148,41 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return keep_heads(keyed, rows, found, doc_id)
 
 
-# Near copies in the wider sense: five words, similarity 0.8. Their fingerprints differ in up to a fifth of the bits, where
-# no segment need agree. Pairs meet in TABLES tables of sampled bits; in each, a text meets the smallest text that shares
-# its key and, where few do, the next ones by pivot distance. So a group makes a few pairs a text and table, however large it is.
-# Pivots and Hamming distance discard, a sketch of the shingles verifies. A second round does the same with one text of each
-# group found so far, to join parts of large groups. Pairs may be missed: the chance falls with the similarity (README).
-WORDS, SIMILARITY, REACH, TABLES, FEW, NEAREST, SKETCH = 5, 0.8, 12, 96, 8, 8, 512
+# Near copies in the wider sense: five words, similarity 0.8 (4/5). Pairs are found exactly, by prefix filter: in any fixed order
+# of all shingles, two sets of similarity 4/5 share one of the first size // 5 + 1 shingles of each. So texts meet on those;
+# sizes and places in the order discard. The order puts shingles that are frequent in a sample last, so passages that many
+# texts quote are rarely met on; which ones does not matter for the result.
+#
+# A group of near copies would make all its pairs. First each text meets only the hub of a shingle: the text that shares most
+# with others, which an original does. What that links is one component, inside which no pair can matter any more. Then
+# every pair of texts that share a shingle and lie in different components is taken, in blocks. No pair is left out.
+WORDS, SIMILARITY, BLOCK, SKETCH = 5, 0.8, 64, 512
+#: The sample that orders the shingles: one text in up to SAMPLE; a shingle found in OFTEN of its texts is frequent; at most MOST.
+SAMPLE, OFTEN, MOST = 20, 4, 1 << 17
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """The distinct 64-bit hashes, sorted."""
+    digest = xxhash.xxh64_intdigest
+    hashes = {digest(b" ".join(words[i : i + WORDS]), SEED) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
+    return np.sort(np.fromiter(hashes, dtype=np.uint64, count=len(hashes)).view(np.int64))
+
 
+def describe(text: str | None, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, int, bytes, list[int]]:
+    """(node: hash of the words, number of distinct shingles, the SKETCH smallest 32-bit hashes, the first ones in order).
 
-def describe(text: str | None) -> tuple[int, int, bytes]:
-    """(node: hash of the words, fingerprint of the distinct shingles, the SKETCH smallest 32-bit hashes of shingles)."""
+    frequent: sorted hashes of frequent shingles and how often they are found.
+    """
     words = text.encode().lower().split() if text else []
-    node = xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    digest = xxhash.xxh64_intdigest
-    hashes = {digest(b" ".join(words[i : i + WORDS]), SEED) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
-    values = np.fromiter(hashes, dtype=np.uint64, count=len(hashes)).astype(">u8")
-    total = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(values), CHUNK):
-        total += np.unpackbits(values[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    least = np.unique(values.astype(np.uint32))[:SKETCH]
-    return int(np.uint64(node).astype(np.int64)), int(np.packbits(total * 2 > len(values)).view(">i8")[0]), least.tobytes()
+    node = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64))
+    values = shingles(words)
+    if not len(values):
+        return node, 0, b"", []
+    first = values
+    if frequent is not None and len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], values), len(frequent[0]) - 1)
+        first = values[np.lexsort((values, np.where(frequent[0][at] == values, frequent[1][at], 0)))]
+    return node, len(values), np.unique(values.astype(np.uint32))[:SKETCH].tobytes(), first[: len(values) // 5 + 1].tolist()
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -177,33 +192,59 @@ def likeness(a: bytes, b: bytes) -> float:
     return float(np.isin(both, np.intersect1d(x, y, assume_unique=True)).mean()) if len(both) else 1.0
 
 
-def masks(bits: int) -> list[int]:
-    """TABLES choices of so many bit places, the same in every run."""
-    r = np.random.default_rng(SEED)
-    return [int(np.bitwise_or.reduce(np.uint64(1) << r.choice(64, bits, replace=False).astype(np.uint64)).astype(np.int64)) for _ in range(TABLES)]
+def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of what many texts of a sample hold."""
+
+    def make():
+        return lambda texts: [(shingles(t.encode().lower().split() if t else []).tolist(),) for t in texts]
+
+    one_in = max(1, min(SAMPLE, docs.count() // 5_000))
+    some = docs.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(text)), F.lit(one_in)) == 0)
+    counted = map_texts(some, text, {}, "held array<long>", make).select(F.explode("held").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    table = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(MOST).toArrow()
+    key, n = (table.column(c).to_numpy() for c in ("key", "n"))
+    turn = np.argsort(key)
+    return key[turn].astype(np.int64), n[turn].astype(np.int64)
 
 
-def close_pairs(nodes: DataFrame, n: int) -> DataFrame:
-    """nodes (node, fp), n of them -> (a, b), a > b: up to NEAREST candidates b of each a within REACH bits."""
-    bits = min(40, max(8, int(np.ceil(np.log2(max(n, 2))))))
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(bits))])).alias("key")
-    at = F.struct("node", "fp")
+def possible(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Whether sets of sizes n and m that first meet at places i and j can be alike: 4/9 of both sizes must be common."""
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (1 + F.least(n - 1 - i, m - 1 - j)) >= 4 * (n + m))
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """nodes (node, size, keys) -> (key, node, size, pos, n, hub) for each key that n > 1 nodes share."""
     own = W.partitionBy("key")
-    turn = own.orderBy(bits_between(F.col("fp"), F.lit(pivots(1)[0])), "node")
-    met = nodes.select("node", "fp", keys).select(
-        "node", "fp", F.count("*").over(own).alias("n"), F.min(at).over(own).alias("first"), *[F.lead(at, i).over(turn).alias(f"next{i}") for i in (1, 2, 3, 4)]
-    )
-    few = F.array("first", "next1", "next2", "next3", "next4")
-    pairs = met.where("n > 1").select("node", "fp", F.explode(F.when(F.col("n") <= FEW, few).otherwise(F.array("first"))).alias("o")).where("o.node <> node")
-    table = [F.abs(bits_between(F.col("fp"), F.lit(p)) - bits_between(F.col("o.fp"), F.lit(p))) for p in pivots()]
-    near = pairs.where((F.greatest(*table) <= REACH) & (bits_between(F.col("fp"), F.col("o.fp")) <= REACH))
-    each = near.select(F.greatest("node", "o.node").alias("a"), F.least("node", "o.node").alias("b"), bits_between(F.col("fp"), F.col("o.fp")).alias("d"))
-    nth = F.row_number().over(W.partitionBy("a").orderBy("d", "b"))
-    return each.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("nth", nth).where(F.col("nth") <= NEAREST).select("a", "b")
-
-
-def verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose sketches (node, sketch) are alike."""
+    keys = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    shared = materialize(keys.withColumn("n", F.count("*").over(own)).where("n > 1"), "shared")
+    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
+    return shared.join(score, "node").withColumn("hub", F.max(F.struct("score", "node", "size", "pos")).over(own)).drop("score")
+
+
+def hub_pairs(met: DataFrame) -> DataFrame:
+    """(a, b), a > b: each node with the hubs of its keys, where they can be alike."""
+    near = met.where((F.col("node") != F.col("hub.node")) & possible(F.col("size"), F.col("pos"), F.col("hub.size"), F.col("hub.pos")))
+    return near.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
+
+
+def other_pairs(met: DataFrame, linked: DataFrame, done: DataFrame) -> DataFrame:
+    """(a, b), a > b: all pairs that share a key, can be alike, lie in different components of linked and are not in done."""
+    own = W.partitionBy("key")
+    placed = met.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = placed.withColumn("home", F.max(F.when(F.col("node") == F.col("hub.node"), F.col("root"))).over(own)).drop("hub")
+    stray = F.col("root") != F.col("home")
+    mixed = materialize(placed.withColumn("strays", F.sum(stray.cast("long")).over(own)).where("strays > 0"), "mixed")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    left = mixed.where(stray).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).alias("x")
+    right = mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).alias("y")
+    once = (F.col("y.root") == F.col("y.home")) | (F.col("x.node") < F.col("y.node"))
+    apart = (F.col("x.root") != F.col("y.root")) & possible(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"))
+    pairs = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & once & apart)
+    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sketches (node, held) are alike."""
 
     def run(batches):
         for batch in batches:
@@ -211,8 +252,8 @@ def verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             alike = [likeness(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    one = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("s"))
-    two = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("t"))
+    one = sets.select(F.col("node").alias("a"), F.col("held").alias("s"))
+    two = sets.select(F.col("node").alias("b"), F.col("held").alias("t"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
@@ -221,22 +262,25 @@ def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Texts of the same words are one node. Texts without words are one group.
     """
+    keyed = docs.select("*", F.xxhash64(F.col(text)).alias("__hash"))
+    frequent = frequent_shingles(docs, text)
 
     def make():
-        return lambda texts: [describe(t) for t in texts]
+        return lambda texts: [describe(t, frequent) for t in texts]
 
-    keyed = docs.select("*", F.xxhash64(F.col(text)).alias("__hash"))
-    rows = materialize(map_texts(keyed, text, {"doc_id": doc_id, "hash": "__hash"}, "node long, fp long, sketch binary", make), "described")
-    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    rows = materialize(map_texts(keyed, text, {"doc_id": doc_id, "hash": "__hash"}, "node long, size int, held binary, keys array<long>", make), "described")
+    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "held", "keys")], F.min("doc_id").alias("least"), F.count("*").alias("n"))
     nodes = materialize(nodes, "nodes")
-    n, sketches = nodes.count(), nodes.select("node", "sketch")
-    pairs = materialize(close_pairs(nodes, n), "pairs")
     release_shuffles(docs.sparkSession)
-    edges = materialize(verified(pairs, sketches), "alike")
+    sets = nodes.select("node", "held")
+    met = materialize(meetings(nodes.select("node", "size", "keys")), "met")
+    release_shuffles(docs.sparkSession)
+    pairs = materialize(hub_pairs(met), "pairs")
+    edges = materialize(verified(pairs, sets), "alike")
     release_shuffles(docs.sparkSession)
     linked = connected_components(edges)
-    roots = nodes.select("node", "fp").join(linked.select(F.col("root").alias("node")).distinct(), "node")
-    more = materialize(verified(materialize(close_pairs(roots, n), "pairs"), sketches), "alike")
+    more = materialize(verified(materialize(other_pairs(met, linked, pairs), "pairs"), sets), "alike")
+    release_shuffles(docs.sparkSession)
     if not more.isEmpty():
         linked = connected_components(edges.unionAll(more))
     release_shuffles(docs.sparkSession)
