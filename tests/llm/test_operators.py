@@ -175,6 +175,24 @@ def test_copies_alike_only_through_the_original(spark):
     assert similar_left(spark, texts) == {0}
 
 
+def test_crowded_shingles_link_all_that_is_alike(spark):
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(40):  # groups that share most shingles and are not alike; no one text is alike to members of two
+        own = altered(r, base, 7)
+        texts += [" ".join(altered(r, own, r.choice([1, 2, 3]))) for _ in range(6)]
+    sets = [brute.shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if brute.jaccard(sets[i], sets[j]) >= 0.8:
+                old, new = parent[i], parent[j]
+                parent = [new if p == old else p for p in parent]
+    assert 10 < len(set(parent)) < 200
+    assert similar_left(spark, texts) == {parent.index(p) for p in set(parent)}
+
+
 def test_pivots_never_discard_a_near_pair():
     r = random.Random(1)
     for _ in range(2000):
