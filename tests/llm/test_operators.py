@@ -193,6 +193,16 @@ def test_crowded_shingles_link_all_that_is_alike(spark):
     assert similar_left(spark, texts) == {parent.index(p) for p in set(parent)}
 
 
+def test_pairs_just_alike_are_found(spark):
+    r = random.Random(7)
+    texts = []
+    for _ in range(150):
+        words = [f"w{r.randrange(10**6)}" for _ in range(250)]
+        texts += [" ".join(words), " ".join(altered(r, words, 5))]  # 0.81
+    assert all(0.8 <= brute.jaccard(brute.shingles(a), brute.shingles(b)) < 0.83 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert similar_left(spark, texts) == set(range(0, 300, 2))
+
+
 def test_pivots_never_discard_a_near_pair():
     r = random.Random(1)
     for _ in range(2000):
