@@ -203,6 +203,21 @@ def test_pairs_just_alike_are_found(spark):
     assert similar_left(spark, texts) == set(range(0, 300, 2))
 
 
+def test_alike_texts_meet_whatever_the_corpus():
+    """The keys of a text depend on no size, and in any order of the shingles alike texts share one at places that can be alike."""
+    r = random.Random(8)
+    for _ in range(200):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(40, 300))]
+        a, b = " ".join(words), " ".join(altered(r, words, max(1, len(words) // 52)))
+        if brute.jaccard(brute.shingles(a), brute.shingles(b)) < 0.8:
+            continue
+        often = np.sort(np.array(r.sample(list(simhash.shingles(a.encode().split())), 20), dtype=np.int64))
+        for frequent in (None, (often, np.arange(20))):
+            (_, n, _, x), (_, m, _, y) = simhash.describe(a, frequent), simhash.describe(b, frequent)
+            i, j = min((x.index(k), y.index(k)) for k in x if k in y)
+            assert 5 * min(n, m) >= 4 * max(n, m) and 9 * (1 + min(n - 1 - i, m - 1 - j)) >= 4 * (n + m)
+
+
 def test_pivots_never_discard_a_near_pair():
     r = random.Random(1)
     for _ in range(2000):
