@@ -218,6 +218,14 @@ def test_alike_texts_meet_whatever_the_corpus():
             assert 5 * min(n, m) >= 4 * max(n, m) and 9 * (1 + min(n - 1 - i, m - 1 - j)) >= 4 * (n + m)
 
 
+def test_long_texts_are_compared_whole():
+    r = random.Random(9)
+    for n in (53, 54, 55, 56, 57, 58, 59, 60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(2500)]
+        a, b = " ".join(words), " ".join(altered(r, words, n))
+        assert abs(simhash.likeness(simhash.describe(a)[2], simhash.describe(b)[2]) - brute.jaccard(brute.shingles(a), brute.shingles(b))) < 1e-6
+
+
 def test_pivots_never_discard_a_near_pair():
     r = random.Random(1)
     for _ in range(2000):

@@ -156,7 +156,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 # A group of near copies would make all its pairs. First each text meets only the hub of a shingle: the text that shares most
 # with others, which an original does. What that links is one component, inside which no pair can matter any more. Then
 # every pair of texts that share a shingle and lie in different components is taken, in blocks. No pair is left out.
-WORDS, SIMILARITY, BLOCK, SKETCH = 5, 0.8, 64, 512
+WORDS, SIMILARITY, BLOCK = 5, 0.8, 64
 #: The sample that orders the shingles: one text in up to SAMPLE; a shingle found in OFTEN of its texts is frequent; at most MOST.
 SAMPLE, OFTEN, MOST = 20, 4, 1 << 17
 
@@ -169,7 +169,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
 
 
 def describe(text: str | None, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, int, bytes, list[int]]:
-    """(node: hash of the words, number of distinct shingles, the SKETCH smallest 32-bit hashes, the first ones in order).
+    """(node: hash of the words, number of distinct shingles, all of them as sorted 32-bit hashes, the first ones in order).
 
     frequent: sorted hashes of frequent shingles and how often they are found.
     """
@@ -182,14 +182,14 @@ def describe(text: str | None, frequent: tuple[np.ndarray, np.ndarray] | None =
     if frequent is not None and len(frequent[0]):
         at = np.minimum(np.searchsorted(frequent[0], values), len(frequent[0]) - 1)
         first = values[np.lexsort((values, np.where(frequent[0][at] == values, frequent[1][at], 0)))]
-    return node, len(values), np.unique(values.astype(np.uint32))[:SKETCH].tobytes(), first[: len(values) // 5 + 1].tolist()
+    return node, len(values), np.unique(values.astype(np.uint32)).tobytes(), first[: len(values) // 5 + 1].tolist()
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets of shingles from their sketches; exact for sets of up to SKETCH."""
+    """Jaccard similarity of two whole sets of shingles."""
     x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-    both = np.union1d(x, y)[:SKETCH]
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True)).mean()) if len(both) else 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
 def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +244,7 @@ def other_pairs(met: DataFrame, linked: DataFrame, done: DataFrame) -> DataFrame
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sketches (node, held) are alike."""
+    """The pairs whose sets of shingles (node, held) are alike."""
 
     def run(batches):
         for batch in batches:
