@@ -8,6 +8,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from timberline.llm import decontaminate, language_id, mixing, pii, pivot_search, queries, secret_scan, sharding, simhash, suffix_dedup, token_counts
 
@@ -409,6 +410,16 @@ def test_labelers_add_spans(spark):
     assert not any(out[100 + i] for i in range(60))
 
 
+def test_every_match_of_the_name_pattern_is_a_candidate(spark):
+    texts = ["Customer Wolfgang Becker", "regards Ingrid Olsen", "the Apache License", "Dr Wu", "Prof. Ekman", "Mr. Li", "no names here", "A Bc", "Ab C", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", F.transform(pii.candidates(F.col("t"), "name"), lambda x: x["m"]).alias("m")).collect()
+    every = df.select("t", F.transform(pii.spans(F.col("t"), pii.PATTERNS["name"]), lambda x: x["m"]).alias("m")).collect()
+    assert found == every
+    assert {r["t"]: r["m"] for r in found}["Customer Wolfgang Becker"] == ["Customer Wolfgang"]
+    assert sum(bool(r["m"]) for r in found) == 6
+
+
 # 8
 
 

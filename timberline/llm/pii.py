@@ -97,7 +97,7 @@ def candidates(text: Column, kind: str) -> Column:
     if kind in ("ip", "card", "phone", "number"):
         gate = gate & text.rlike("[0-9]")
     if kind == "name":
-        gate = gate & text.rlike(rf"(?i)\b(?:{GIVEN})\b|\b(?:mr|mrs|ms|dr|prof)\.?\x20|(?:name|contact|patient|signed)\x20?:")
+        gate = gate & text.rlike(r"[A-Z][a-z]*+\.?\x20[A-Z][a-z]")  # every match of the pattern holds this
     found = F.filter(spans(text, PATTERNS[kind]), lambda x: CHECKS[kind](x["m"]))
     return F.when(gate, found).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)"))
 
