@@ -33,3 +33,16 @@ def test_match_is_a_broadcast_join_on_the_length(spark, sf):
 def test_scan_reads_only_what_it_needs(spark, sf):
     plan = catalog.QUERIES["entropy_single"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan and "l_comment" not in plan
+
+
+def test_roundtrip_multi_trains_on_all_documents(spark, sf, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def train(lines, *_):
+        raise Seen(lines.select("block_id").distinct().count(), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").distinct().count())
+
+    monkeypatch.setattr(catalog.pipeline, "train", train)
+    with pytest.raises(Seen) as seen:
+        catalog.roundtrip_multi(spark, sf)
+    assert seen.value.args[0] > 100 and seen.value.args[1] > 100
