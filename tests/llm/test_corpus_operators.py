@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timberline.llm import decontaminate, language_id, mixing, pii, pivot_search, queries, secret_scan, sharding, simhash, suffix_dedup, token_counts
+from timberline.llm import decontaminate, language_id, mixing, pii, pivot_search, queries, secret_scan, sharding, simhash, similar, suffix_dedup, token_counts
 
 key = lambda r: tuple((x is not None, x) for x in r)
 
@@ -147,10 +147,36 @@ def test_similar_texts_are_one_group(spark, edges, none):
     assert simhash.keep_one_similar(none).count() == 0
 
 
+def described(text, frequent=None):
+    """(node, number of shingles, all of them as bytes, the first ones in order) of one text."""
+    data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+    words, firsts = similar.word_hashes(data, np.array([0, len(data)]))
+    doc, h = similar.shingle_hashes(words, firsts)
+    sizes, keys = similar.leading(doc, h, 1, frequent)
+    return int(similar.node_hashes(words, firsts)[0]), int(sizes[0]), h.tobytes(), keys.to_pylist()[0]
+
+
 def test_likeness_is_jaccard_of_small_sets():
     a, b = "a b c d e f g h i j k l", "a b c d e f g h i j k x"
-    assert abs(simhash.likeness(simhash.describe(a)[2], simhash.describe(b)[2]) - brute.jaccard(brute.shingles(a), brute.shingles(b))) < 1e-9
-    assert simhash.likeness(b"", b"") == 1.0 and simhash.describe(None) == simhash.describe(" ")
+    assert abs(similar.likeness(described(a)[2], described(b)[2]) - brute.jaccard(brute.shingles(a), brute.shingles(b))) < 1e-9
+    assert similar.likeness(b"", b"") == 1.0 and described(None) == described(" ")
+
+
+def test_shingles_of_a_batch_are_those_of_each_text(edges):
+    """Hashes stand for words: equal where the plain shingles are, whatever stands around, and pieces do not matter."""
+    texts = [t for _, t in edges[1]] + ["A b\x0bC", "a B c", "a\u00a0b c", "x" * 1000, "x" * 1001, "x" * 1000 + " y", "Z" * 600 + "a", "z" * 600 + "A"]
+    raw = [(t or "").encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)])
+    words, firsts = similar.word_hashes(data, offsets)
+    doc, h = similar.shingle_hashes(words, firsts)
+    nodes = similar.node_hashes(words, firsts).tolist()
+    named = {}
+    for i, t in enumerate(texts):
+        plain = brute.shingles(t)
+        assert len(plain) == (doc == i).sum()
+        assert (nodes[i], len(plain), h[doc == i].tobytes()) == described(t)[:3]
+        named.setdefault(nodes[i], set()).add(b" ".join((t or "").encode().lower().split()))
+    assert all(len(v) == 1 for v in named.values()) and len(named) == len({x for v in named.values() for x in v})
 
 
 def similar_left(spark, texts):
@@ -205,18 +231,38 @@ def test_pairs_just_alike_are_found(spark):
 
 
 def test_alike_texts_meet_whatever_the_corpus():
-    """The keys of a text depend on no size, and in any order of the shingles alike texts share one at places that can be alike."""
+    """The keys of a text depend on no size, and in any order of the shingles alike texts share enough of them, at places that can be alike."""
     r = random.Random(8)
     for _ in range(200):
         words = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(40, 300))]
         a, b = " ".join(words), " ".join(altered(r, words, max(1, len(words) // 52)))
         if brute.jaccard(brute.shingles(a), brute.shingles(b)) < 0.8:
             continue
-        often = np.sort(np.array(r.sample(list(simhash.shingles(a.encode().split())), 20), dtype=np.int64))
+        often = np.sort(np.array(r.sample(np.frombuffer(described(a)[2], dtype=np.int64).tolist(), 20), dtype=np.int64))
         for frequent in (None, (often, np.arange(20))):
-            (_, n, _, x), (_, m, _, y) = simhash.describe(a, frequent), simhash.describe(b, frequent)
-            i, j = min((x.index(k), y.index(k)) for k in x if k in y)
+            (_, n, _, x), (_, m, _, y) = described(a, frequent), described(b, frequent)
+            both = [(x.index(k), y.index(k)) for k in x if k in y]
+            i, j = min(both)
             assert 5 * min(n, m) >= 4 * max(n, m) and 9 * (1 + min(n - 1 - i, m - 1 - j)) >= 4 * (n + m)
+            assert all(9 * (min(i, j) + 1 + min(n - 1 - i, m - 1 - j)) >= 4 * (n + m) for i, j in both)
+            assert 9 * (len(both) + max(n - n // 5 - 1, m - m // 5 - 1)) >= 4 * (n + m)
+
+
+def test_what_a_pair_must_share_rules_out_no_alike_pair(spark):
+    """The two conditions as columns, against the sets themselves."""
+    r = random.Random(12)
+    rows = []
+    for _ in range(400):
+        universe = r.sample(range(10**6), r.randrange(1, 60))
+        x = sorted(u for u in universe if r.random() < 0.95)
+        y = sorted(u for u in universe if r.random() < 0.95)
+        if x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.8:
+            both = sorted(set(x[: len(x) // 5 + 1]) & set(y[: len(y) // 5 + 1]))
+            rows += [(len(x), x.index(k), len(y), y.index(k), len(both), x.index(both[0]), y.index(both[0])) for k in both]
+            assert both
+    df = spark.createDataFrame(rows, "n int, i int, m int, j int, c int, i0 int, j0 int")
+    fits = similar.aligned(df.n, df.i, df.m, df.j) & similar.enough(df.c, df.n, df.i0, df.m, df.j0)
+    assert len(rows) > 200 and df.where(fits).count() == len(rows)
 
 
 def test_long_texts_are_compared_whole():
@@ -224,7 +270,7 @@ def test_long_texts_are_compared_whole():
     for n in (53, 54, 55, 56, 57, 58, 59, 60):
         words = [f"w{r.randrange(10**6)}" for _ in range(2500)]
         a, b = " ".join(words), " ".join(altered(r, words, n))
-        assert abs(simhash.likeness(simhash.describe(a)[2], simhash.describe(b)[2]) - brute.jaccard(brute.shingles(a), brute.shingles(b))) < 1e-6
+        assert abs(similar.likeness(described(a)[2], described(b)[2]) - brute.jaccard(brute.shingles(a), brute.shingles(b))) < 1e-6
 
 
 def test_pivots_never_discard_a_near_pair():

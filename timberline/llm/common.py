@@ -7,14 +7,13 @@ executor costs a re-read and not a recomputation of everything before.
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,24 +38,41 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark drops a query's shuffle files as soon as the query ends.
+SHED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and is computed once."""
+    """Write df to the shared folder and read it back: cuts the lineage and is computed once.
+
+    Its shuffle files go when it is written and not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/timberline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHED, None)
+    spark.conf.set(SHED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHED) if before is None else spark.conf.set(SHED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now instead of at the driver's next collection.
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    The cleaner works by reachability: plans that Python still holds in cycles must go first, and the files go shortly
-    after. Without this, a long operator keeps all its stages' files until it ends.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+
+#: Rows that are broadcast at most: with a few numbers each, under 64 MB.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most BROADCAST_ROWS of them; more are joined by shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
@@ -88,6 +104,13 @@ def map_texts(df: DataFrame, text: str, keep: dict[str, str], fields: str, make:
     return own.mapInArrow(run, T.StructType([*own.schema.fields[:-1], *added.fields]))
 
 
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column, nothing copied."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)), at
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -146,5 +169,4 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
                 break
         else:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-        release_shuffles(spark)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

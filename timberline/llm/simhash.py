@@ -23,13 +23,13 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from timberline.llm.common import connected_components, lookup_hot, map_texts, materialize, release_shuffles
+from timberline.llm.common import broadcast_if_small, connected_components, lookup_hot, map_texts, materialize, unused
+from timberline.llm.similar import describe, similar_groups
 
 SHINGLE, SEED, RADIUS, PIVOTS, CROWD = 3, 42, 2, 8, 48
 #: Shingles turned into bits at once.
@@ -109,182 +109,51 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
     prints = materialize(fingerprints(docs, {"doc_id": doc_id}, text), "fingerprints")
     found = materialize(classes(prints).drop("root"), "components")
-    release_shuffles(docs.sparkSession)
     out = lookup_hot(prints, found, "fp", "n", prints.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_heads(docs: DataFrame, rows: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+def keep_heads(docs: DataFrame, rows: DataFrame, found: DataFrame, doc_id: str, hashed: str) -> DataFrame:
     """docs with one row of each component: the smallest id, then the smallest hash of the text.
 
-    docs have __hash; rows are (doc_id, hash, node) of theirs; found is (node, root, component_id, n). The texts are not
-    grouped: the rows that go are written first and joined against. Rows that agree in id and text are cut down to one by
-    a window over those rows alone.
+    docs have the hash in the column `hashed`, which is dropped; rows are (doc_id, hash, node) of theirs; found is (node, root,
+    component_id, n). The texts are not grouped: the rows that go are written first and joined against. Rows that agree in
+    id and text are cut down to one by a window over those rows alone.
     """
-    columns = [c for c in docs.columns if c != "__hash"]
+    columns = [c for c in docs.columns if c != hashed]
+    of, like, nth = unused(docs, "of"), unused(docs, "like"), unused(docs, "nth")
+    named = lambda df: materialize(df.select(F.col("doc_id").alias(of), F.col("hash").alias(like)), "named")
     placed = materialize(lookup_hot(rows, found, "node", "n", rows.count()), "placed")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     heads = placed.where(first).groupBy("root").agg(F.min("hash").alias("head"))
     others = placed.where(first).join(heads, "root").where("hash <> head")
-    gone = placed.where(~first).select("doc_id", "hash").unionAll(others.select("doc_id", "hash")).distinct()
-    gone = materialize(gone.select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__text")), "gone")
-    left = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__gone")) & (F.col("__hash") == F.col("__text")), "left_anti")
-    again = placed.where(first).groupBy("doc_id", "hash").count().where("count > 1").select(F.col("doc_id").alias("__again"), F.col("hash").alias("__text"))
-    again = materialize(again, "again")
+    gone = named(placed.where(~first).select("doc_id", "hash").unionAll(others.select("doc_id", "hash")).distinct())
+    again = named(placed.where(first).groupBy("doc_id", "hash").count().where("count > 1"))
+    same = docs[doc_id].eqNullSafe(F.col(of)) & (F.col(hashed) == F.col(like))
+    left = docs.join(broadcast_if_small(gone), same, "left_anti")
     if again.isEmpty():
         return left.select(*columns)
-    same = left[doc_id].eqNullSafe(F.col("__again")) & (F.col("__hash") == F.col("__text"))
-    nth = F.row_number().over(W.partitionBy(doc_id, "__hash").orderBy("__hash"))
-    once = left.join(again, same, "left_semi").withColumn("__nth", nth).where("__nth = 1")
-    return left.join(again, same, "left_anti").select(*columns).unionByName(once.select(*columns))
+    once = left.join(broadcast_if_small(again), same, "left_semi").withColumn(nth, F.row_number().over(W.partitionBy(doc_id, hashed).orderBy(hashed))).where(F.col(nth) == 1)
+    return left.join(broadcast_if_small(again), same, "left_anti").select(*columns).unionByName(once.select(*columns))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component of near_duplicates and the same columns."""
-    keyed = docs.select("*", F.xxhash64(F.col(text)).alias("__hash"))
-    rows = materialize(fingerprints(keyed, {"doc_id": doc_id, "hash": "__hash"}, text).withColumnRenamed("fp", "node"), "fingerprints")
+    hashed = unused(docs, "hash")
+    keyed = docs.select("*", F.xxhash64(F.col(text)).alias(hashed))
+    rows = materialize(fingerprints(keyed, {"doc_id": doc_id, "hash": hashed}, text).withColumnRenamed("fp", "node"), "fingerprints")
     found = materialize(classes(rows.select("doc_id", F.col("node").alias("fp"))).withColumnRenamed("fp", "node"), "components")
-    release_shuffles(docs.sparkSession)
-    return keep_heads(keyed, rows, found, doc_id)
-
-
-# Near copies in the wider sense: five words, similarity 0.8 (4/5). Pairs are found exactly, by prefix filter: in any fixed order
-# of all shingles, two sets of similarity 4/5 share one of the first size // 5 + 1 shingles of each. So texts meet on those;
-# sizes and places in the order discard. The order puts shingles that are frequent in a sample last, so passages that many
-# texts quote are rarely met on; which ones does not matter for the result.
-#
-# A group of near copies would make all its pairs. First each text meets only the hub of a shingle: the text that shares most
-# with others, which an original does. What that links is one component, inside which no pair can matter any more. Then
-# every pair of texts that share a shingle and lie in different components is taken, in blocks. No pair is left out.
-WORDS, SIMILARITY, BLOCK = 5, 0.8, 64
-#: The sample that orders the shingles: one text in up to SAMPLE; a shingle found in OFTEN of its texts is frequent; at most MOST.
-SAMPLE, OFTEN, MOST = 20, 4, 1 << 17
-
-
-def shingles(words: list[bytes]) -> np.ndarray:
-    """The distinct 64-bit hashes, sorted."""
-    digest = xxhash.xxh64_intdigest
-    hashes = {digest(b" ".join(words[i : i + WORDS]), SEED) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
-    return np.sort(np.fromiter(hashes, dtype=np.uint64, count=len(hashes)).view(np.int64))
-
-
-def describe(text: str | None, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, int, bytes, list[int]]:
-    """(node: hash of the words, number of distinct shingles, all of them as sorted 32-bit hashes, the first ones in order).
-
-    frequent: sorted hashes of frequent shingles and how often they are found.
-    """
-    words = text.encode().lower().split() if text else []
-    node = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64))
-    values = shingles(words)
-    if not len(values):
-        return node, 0, b"", []
-    first = values
-    if frequent is not None and len(frequent[0]):
-        at = np.minimum(np.searchsorted(frequent[0], values), len(frequent[0]) - 1)
-        first = values[np.lexsort((values, np.where(frequent[0][at] == values, frequent[1][at], 0)))]
-    return node, len(values), np.unique(values.astype(np.uint32)).tobytes(), first[: len(values) // 5 + 1].tolist()
-
-
-def likeness(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two whole sets of shingles."""
-    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
-
-def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of what many texts of a sample hold."""
-
-    def make():
-        return lambda texts: [(shingles(t.encode().lower().split() if t else []).tolist(),) for t in texts]
-
-    one_in = max(1, min(SAMPLE, docs.count() // 5_000))
-    some = docs.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(text)), F.lit(one_in)) == 0)
-    counted = map_texts(some, text, {}, "held array<long>", make).select(F.explode("held").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    table = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(MOST).toArrow()
-    key, n = (table.column(c).to_numpy() for c in ("key", "n"))
-    turn = np.argsort(key)
-    return key[turn].astype(np.int64), n[turn].astype(np.int64)
-
-
-def possible(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Whether sets of sizes n and m that first meet at places i and j can be alike: 4/9 of both sizes must be common."""
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (1 + F.least(n - 1 - i, m - 1 - j)) >= 4 * (n + m))
-
-
-def meetings(nodes: DataFrame) -> DataFrame:
-    """nodes (node, size, keys) -> (key, node, size, pos, n, hub) for each key that n > 1 nodes share."""
-    own = W.partitionBy("key")
-    keys = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
-    shared = materialize(keys.withColumn("n", F.count("*").over(own)).where("n > 1"), "shared")
-    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    return shared.join(score, "node").withColumn("hub", F.max(F.struct("score", "node", "size", "pos")).over(own)).drop("score")
-
-
-def hub_pairs(met: DataFrame) -> DataFrame:
-    """(a, b), a > b: each node with the hubs of its keys, where they can be alike."""
-    near = met.where((F.col("node") != F.col("hub.node")) & possible(F.col("size"), F.col("pos"), F.col("hub.size"), F.col("hub.pos")))
-    return near.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
-
-
-def other_pairs(met: DataFrame, linked: DataFrame, done: DataFrame) -> DataFrame:
-    """(a, b), a > b: all pairs that share a key, can be alike, lie in different components of linked and are not in done."""
-    own = W.partitionBy("key")
-    placed = met.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.withColumn("home", F.max(F.when(F.col("node") == F.col("hub.node"), F.col("root"))).over(own)).drop("hub")
-    stray = F.col("root") != F.col("home")
-    mixed = materialize(placed.withColumn("strays", F.sum(stray.cast("long")).over(own)).where("strays > 0"), "mixed")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    left = mixed.where(stray).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).alias("x")
-    right = mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).alias("y")
-    once = (F.col("y.root") == F.col("y.home")) | (F.col("x.node") < F.col("y.node"))
-    apart = (F.col("x.root") != F.col("y.root")) & possible(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"))
-    pairs = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & once & apart)
-    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets of shingles (node, held) are alike."""
-
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            alike = [likeness(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
-
-    one = sets.select(F.col("node").alias("a"), F.col("held").alias("s"))
-    two = sets.select(F.col("node").alias("b"), F.col("held").alias("t"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return keep_heads(keyed, rows, found, doc_id, hashed)
 
 
 def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies (five-word shingles, similarity SIMILARITY) and the same columns.
+    """docs with one row of each group of near copies (five-word shingles, similarity 0.8 or more) and the same columns.
 
-    Texts of the same words are one node. Texts without words are one group.
+    Fingerprints miss pairs at that similarity, so the groups are found by the exact filter of `similar`. Texts of the same
+    words are one node. Texts without words are one group.
     """
-    keyed = docs.select("*", F.xxhash64(F.col(text)).alias("__hash"))
-    frequent = frequent_shingles(docs, text)
-
-    def make():
-        return lambda texts: [describe(t, frequent) for t in texts]
-
-    rows = materialize(map_texts(keyed, text, {"doc_id": doc_id, "hash": "__hash"}, "node long, size int, held binary, keys array<long>", make), "described")
-    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "held", "keys")], F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    nodes = materialize(nodes, "nodes")
-    release_shuffles(docs.sparkSession)
-    sets = nodes.select("node", "held")
-    met = materialize(meetings(nodes.select("node", "size", "keys")), "met")
-    release_shuffles(docs.sparkSession)
-    pairs = materialize(hub_pairs(met), "pairs")
-    edges = materialize(verified(pairs, sets), "alike")
-    release_shuffles(docs.sparkSession)
-    linked = connected_components(edges)
-    more = materialize(verified(materialize(other_pairs(met, linked, pairs), "pairs"), sets), "alike")
-    release_shuffles(docs.sparkSession)
-    if not more.isEmpty():
-        linked = connected_components(edges.unionAll(more))
-    release_shuffles(docs.sparkSession)
-    rooted = materialize(nodes.select("node", "least", "n").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = materialize(rooted.join(least, "root").select("node", "root", "component_id", "n"), "components")
-    return keep_heads(keyed, rows.select("doc_id", "hash", "node"), found, doc_id)
+    hashed = unused(docs, "hash")
+    keyed = docs.select("*", F.xxhash64(F.col(text)).alias(hashed))
+    rows = materialize(describe(keyed, {"doc_id": doc_id, "hash": hashed}, text), "described")
+    found = materialize(similar_groups(rows.drop("hash"), docs, text), "components")
+    return keep_heads(keyed, rows.select("doc_id", "hash", "node"), found, doc_id, hashed)

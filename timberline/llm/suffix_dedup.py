@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from timberline.llm.common import bound_batches, lookup_hot, materialize, release_shuffles
+from timberline.llm.common import bound_batches, buffers, lookup_hot, materialize
 
 LENGTH, K = 50, 24
 #: Bytes before an anchor that a string with this anchor can start at, and bytes of a context.
@@ -111,13 +111,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return doc, at - offsets[doc], h
 
 
-def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary column, nothing copied."""
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)), at
-
-
 def known_in_batch(h: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows whose h occurs with two th or more, those of them that need not be shipped to h: all but two of different th)."""
     order = np.lexsort((th, h))
@@ -350,8 +343,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = own.where("doc_id is not null").select("th", "text").mapInArrow(anchor_rows, "key long, th long, pos int, known boolean")
     shared = found.withColumn("low", F.min("th").over(group)).withColumn("high", F.max("th").over(group)).where("known or low < high")
     places = materialize(shared.groupBy("th").agg(F.collect_set("pos").alias("positions")), "anchors")
-    del found, shared
-    release_shuffles(spark)
 
     # 2. contexts, and 3. their sorted buckets
     total = places.agg(F.sum(F.size("positions"))).first()[0] or 0
@@ -363,8 +354,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     contexts = texts.select("doc_id", "mark", "positions", "text").mapInArrow(context_rows(splitters), "bucket int, doc_id long, mark string, pos int, left int, right int, ctx binary")
     runs = contexts.groupBy("bucket").applyInArrow(bucket_runs, "doc_id long, mark string, a int, b int")
     runs = materialize(runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
-    del texts, contexts
-    release_shuffles(spark)
 
     # 4. copies lose all, others their runs
     known = lookup_hot(slim.where("long").select("doc_id", "mark"), first.select("mark", F.col("doc_id").alias("least"), "n"), "mark", "n", rows)
