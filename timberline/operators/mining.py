@@ -1,7 +1,8 @@
 """Similarity mining of templates: an ordered fold over a sample through a prefix tree.
 
 Records of different token counts never meet in the tree, so each count is folded by a task of its own in record order,
-which gives just what one fold over all would. The sample bounds what a task holds.
+which gives just what one fold over all would. A fold in order cannot be split, so a task holds all records of its count:
+`train` folds a sample of bounded size unless it is told to fold everything.
 """
 
 from __future__ import annotations
@@ -42,15 +43,18 @@ class Cluster:
 
 
 class PrefixTree:
-    """Children by token on the first levels, wildcards beside; clusters at the leaves."""
+    """Children by token on the first levels, but never on a record's last token; wildcards beside; clusters at the leaves."""
 
     def __init__(self, config: LogConfig):
         self.levels, self.most, self.least, self.root = config.depth - 1, config.max_children, config.similarity, {}
         self.clusters: list[Cluster] = []
 
+    def path(self, toks: list[str]) -> list[str]:
+        return toks[: max(0, min(self.levels, len(toks) - 1))]
+
     def find(self, toks: list[str]) -> Cluster | None:
         node = self.root
-        for t in toks[: self.levels]:
+        for t in self.path(toks):
             node = node.get(t) or node.get(tk.WILD)
             if node is None:
                 return None
@@ -60,7 +64,7 @@ class PrefixTree:
 
     def insert(self, cluster: Cluster) -> None:
         node = self.root
-        for t in cluster.tokens[: self.levels]:
+        for t in self.path(cluster.tokens):
             if t not in node and (DIGIT.search(t) or len(node) + 1 >= self.most):
                 t = tk.WILD
             node = node.setdefault(t, {})
