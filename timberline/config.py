@@ -9,16 +9,19 @@ from dataclasses import dataclass
 class LogConfig:
     """How a log is framed, parsed, mined and encoded.
 
-    boundary: a full-match pattern of a record's first token; None means that each line is a record.
+    boundary: a full-match pattern of a record's first token; None means that each line is a record. With search, it may be
+    found anywhere in that token.
     The limits route records to the failure stream; they never drop them.
     """
 
     head_slots: int = 4
     boundary: str | None = None
+    search: bool = False
     block_lines: int = 100_000
     max_chars: int = 300_000
     max_tokens: int = 2_046
     max_vars: int = 128
+    max_templates: int = 100_000
     similarity: float = 0.1
     depth: int = 6
     max_children: int = 100
@@ -44,6 +47,7 @@ class LogConfig:
 
 
 #: Header layouts by log kind: (slots, boundary of multi-line records or None). Fixed values.
+DATED = r"\[\d{4}-\d{2}-\d{2}.*"
 PRESETS: dict[str, tuple[int, str | None]] = {
     "Android": (5, None),
     "Apache": (6, r"\[\w{3}.*"),
@@ -61,6 +65,17 @@ PRESETS: dict[str, tuple[int, str | None]] = {
     "Thunderbird": (8, None),
     "Windows": (4, None),
     "Zookeeper": (4, None),
+    # production families, by the columns before the content
+    **dict.fromkeys(("LogA", "LogB", "LogG", "LogH", "LogJ", "LogM", "LogN", "LogP", "LogR"), (4, DATED)),
+    **dict.fromkeys(("LogC", "LogD", "LogE", "LogF", "LogO"), (3, DATED)),
+    **dict.fromkeys(("LogI", "LogK"), (2, DATED)),
+    "LogL": (1, None),
+    "LogQ": (4, None),
+    **dict.fromkeys(("Apsara", "Fastcgi", "Oss", "Pangu", "Presto", "Rpc", "Shennong", "Sla", "Tubo"), (4, DATED)),
+    **dict.fromkeys(("Metering", "Monitor", "Ols", "Op", "Sinput"), (3, DATED)),
+    **dict.fromkeys(("PAudit", "PSummary"), (2, DATED)),
+    **dict.fromkeys(("Request", "Server"), (1, None)),
+    "Sys": (4, None),
 }
 
 

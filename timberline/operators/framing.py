@@ -17,13 +17,16 @@ def first_token(line: Column) -> Column:
     return F.regexp_extract(line, r"^[ \t|]*([^ \t|]*)", 1)
 
 
-def mark_records(lines: DataFrame, keys: list[str], boundary: str | None, order: str = "line_no") -> DataFrame:
-    """lines with kind (head, empty, part, orphan) and rec_id, counted from 1 within keys. One sort by (keys, order)."""
+def mark_records(lines: DataFrame, keys: list[str], boundary: str | None, order: str = "line_no", search: bool = False) -> DataFrame:
+    """lines with kind (head, empty, part, orphan) and rec_id, counted from 1 within keys. One sort by (keys, order).
+
+    search: the boundary may be found anywhere in the first token.
+    """
     empty = F.length("line") == 0
     w = W.partitionBy(*keys).orderBy(order)
     if boundary is None:
         return lines.withColumn("kind", F.when(empty, "empty").otherwise("head")).withColumn("rec_id", F.row_number().over(w).cast("long"))
-    head = first_token(F.col("line")).rlike(f"^(?:{boundary})$")
+    head = first_token(F.col("line")).rlike(boundary if search else f"^(?:{boundary})$")
     kind = F.when(empty, "empty").when(head, "head")
     last = F.last(kind, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     marked = lines.withColumn("kind", F.coalesce(kind, F.when(last == "head", "part").otherwise("orphan")))
@@ -44,7 +47,7 @@ def status(config: LogConfig) -> Column:
 
 def frame(lines: DataFrame, keys: list[str], config: LogConfig, order: str = "line_no") -> DataFrame:
     """(keys, rec_id, raw, n_lines, status)."""
-    marked = mark_records(lines, keys, config.boundary, order)
+    marked = mark_records(lines, keys, config.boundary, order, config.search)
     if config.boundary is None:
         records = marked.select(*keys, "rec_id", "kind", F.col("line").alias("raw"), F.lit(1).cast("long").alias("n_lines"))
     else:

@@ -22,7 +22,7 @@ def match(parsed: DataFrame, templates: DataFrame, config: LogConfig) -> DataFra
 
     Templates of one length and first token are one row of the broadcast side, in order, and those that begin with a
     wildcard are a row for each length. So a record meets two rows and no aggregation has to pick among several hits; the
-    first that fits is found inside them. Templates are at most a few thousand.
+    first that fits is found inside them. The model bounds templates in number and length (`LogConfig.max_templates`, `max_tokens`).
     """
     anchor = F.get("tokens", F.lit(0))
     bucket = F.array_sort(F.collect_list(F.struct("ord", "eid", "tokens", "n_vars")))
@@ -50,7 +50,7 @@ def masked_templates(parsed: DataFrame, least: int = 2) -> list[tuple[int, int,
     """Templates by grouping masked tokens: the order-free miner. Those seen less than `least` times are left out."""
     groups = parsed.where("status = 'ok'").select(tk.mask(F.col("toks")).alias("m"), "block_id", "rec_id")
     counted = groups.groupBy("m").agg(F.count("*").alias("n"), F.min(F.struct("block_id", "rec_id")).alias("first")).where(F.col("n") >= least)
-    rows = counted.orderBy("first").limit(100_000).collect()
+    rows = counted.orderBy("first").collect()  # the model checks how many there are
     return [(i + 1, i + 1, list(r["m"]), r["n"]) for i, r in enumerate(rows)]
 
 

@@ -7,6 +7,7 @@ candidate. Each chosen candidate adds one column that the ones before do not giv
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import combinations
@@ -71,14 +72,27 @@ def entropies(rows: DataFrame, candidates: dict[str, Column], keys: list[str] |
     return summed.select(*keys, "candidate", "n", F.round(F.col("n") * F.ln("n") - F.col("s"), 4).alias("entropy"))
 
 
+def entropies_of(rows: DataFrame, values: Column, candidates: list[tuple[int, ...]]) -> DataFrame:
+    """(candidate, n, entropy) for candidates given by places in the array `values`: the first less the others.
+
+    The list is one constant, so the plan does not grow with the number of candidates.
+    """
+    known = F.from_json(F.lit(json.dumps([list(c) for c in candidates])), "array<array<int>>")
+    less = lambda c, v, i: F.coalesce(F.get(v, F.get(c, F.lit(i))), F.lit(0))
+    at = F.transform(F.array(values), lambda v: F.transform(known, lambda c: F.get(v, F.get(c, F.lit(0))) - less(c, v, 1) - less(c, v, 2)))
+    counts = rows.select(F.posexplode(F.get(at, F.lit(0))).alias("candidate", "v")).groupBy("candidate", "v").agg(F.count("*").alias("c"))
+    summed = counts.groupBy("candidate").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("s"))
+    return summed.select("candidate", "n", F.round(F.col("n") * F.ln("n") - F.col("s"), 4).alias("entropy"))
+
+
 Candidate = tuple[Form, ...]
 
 
 def greedy(columns: list[str], scores: dict[Candidate, float]) -> list[tuple[str, Candidate]]:
     """(new column, candidate) in the order of choice; every column is introduced once. Ties: fewer forms, then names.
 
-    The pool starts with single forms; a chosen column brings in the pairs that join it to others and, once a pair of
-    chosen columns is known, the triples over that pair.
+    Each step takes the cheapest candidate all of whose columns but one were chosen before: at first a single form, then
+    also pairs with a chosen column and triples with two.
     """
     chosen: list[str] = []
     out: list[tuple[str, Candidate]] = []

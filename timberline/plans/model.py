@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.config import LogConfig
 from timberline.operators.header import Slot
 from timberline.operators.matching import template_table
 from timberline.operators.rules import Candidate, Form
 
 
+def usable(templates: list[tuple[int, int, list[str], int]], config: LogConfig) -> list[tuple[int, int, list[str], int]]:
+    """The templates that a record can match, up to config.max_templates in their order; a warning tells how many go.
+
+    Records of the others fail to match and are kept raw, so nothing is lost but size.
+    """
+    short = [t for t in templates if len(t[2]) < config.max_tokens]
+    kept = sorted(short, key=lambda t: t[1])[: config.max_templates]
+    if len(kept) < len(templates):
+        warnings.warn(f"{len(templates) - len(short)} templates are too long and {len(short) - len(kept)} too many", stacklevel=2)
+    return kept if len(kept) < len(templates) else templates
+
+
 @dataclass
 class Model:
     slots: list[Slot]

@@ -7,11 +7,15 @@ restored. Everything before that (framing, header, tokens, match) is expressions
 from __future__ import annotations
 
 import lzma
+import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,7 +23,7 @@ from pyspark.sql import Window as W
 from timberline.config import LogConfig
 from timberline.operators import codec, framing, header, matching, mining, rules, variables
 from timberline.operators import tokens as tk
-from timberline.plans.model import Model
+from timberline.plans.model import Model, usable
 from timberline.sources.lines import sample_blocks, with_blocks
 
 KEYS = ["file", "block_id"]
@@ -47,8 +51,11 @@ def parse(lines: DataFrame, model: Model, config: LogConfig) -> DataFrame:
     return matching.match(_parsed(records, model.slots, config), model.table(lines.sparkSession), config)
 
 
-def train(lines: DataFrame, config: LogConfig, miner: str = "tree", sample: bool = False) -> Model:
-    """miner: `tree` (similarity, in record order) or `mask` (grouping of masked tokens)."""
+def train(lines: DataFrame, config: LogConfig, miner: str = "tree", sample: bool = True) -> Model:
+    """miner: `tree` (similarity, in record order) or `mask` (grouping of masked tokens).
+
+    Learns from sampled blocks of lines, which bounds what the miner's tasks hold; sample=False learns from all.
+    """
     lines = as_blocks(lines, config)
     if sample:
         lines = sample_blocks(lines, config)
@@ -56,7 +63,8 @@ def train(lines: DataFrame, config: LogConfig, miner: str = "tree", sample: bool
     slots = header.infer_slots(_parsed(records, None, config), config)
     parsed = _parsed(records, slots, config)
     templates = mining.tree_templates(parsed, config) if miner == "tree" else matching.masked_templates(parsed)
-    model = Model(slots, templates)
+    model = Model(slots, usable(templates, config))
+    templates = model.templates
     if config.level == "N" and templates:
         model.rules = find_rules(matching.match(parsed, model.table(lines.sparkSession), config), config)
     records.unpersist()
@@ -80,23 +88,17 @@ def find_rules(matched: DataFrame, config: LogConfig) -> dict[int, tuple[list[st
             continue
         own = ids.get(eid, [])
         forms = rules.all_forms(columns, own)
-        candidates: list[rules.Candidate] = [(f,) for f in forms] + rules.pairs(forms)
-        plain = [f for f in forms if not f.ident]
-        candidates += rules.triples(plain) if len(plain) <= 15 else []
+        candidates: list[rules.Candidate] = [(f,) for f in forms] + rules.pairs(forms) + rules.triples(forms)
         rows = matched.where(F.col("eid") == eid).select(*KEYS, "rec_id", *[F.element_at("vars", int(c) + 1).cast("bigint").alias(f"v{c}") for c in columns], *[F.element_at("vars", int(i) + 1).alias(f"v{i}") for i in own])
         for f in forms:
             if f.kind != rules.RAW:
                 w = W.partitionBy(*KEYS, *([f"v{f.ident}"] if f.ident else [])).orderBy("rec_id")
                 v = F.col(f"v{f.base}")
                 rows = rows.withColumn(f"f{f.name}", F.coalesce(v - F.lag(v).over(w), v) if f.kind == rules.DO else F.coalesce(F.lead(v).over(w) - v, v))
-        at = {f: F.col(f"v{f.base}" if f.kind == rules.RAW else f"f{f.name}") for f in forms}
-        exprs = {}
-        for i, c in enumerate(candidates):
-            e = at[c[0]]
-            for f in c[1:]:
-                e = e - at[f]
-            exprs[str(i)] = e
-        scores = {candidates[int(r["candidate"])]: r["entropy"] for r in rules.entropies(rows, exprs).collect()}
+        values = F.array(*[F.col(f"v{f.base}" if f.kind == rules.RAW else f"f{f.name}") for f in forms])
+        place = {f: i for i, f in enumerate(forms)}
+        found = rules.entropies_of(rows, values, [tuple(place[f] for f in c) for c in candidates])
+        scores = {candidates[r["candidate"]]: r["entropy"] for r in found.collect()}  # a number a candidate; max_numeric bounds them
         out[eid] = (own, rules.greedy(columns, scores))
     return out
 
@@ -251,10 +253,73 @@ def restore(encoded: DataFrame, model: Model, config: LogConfig) -> DataFrame:
     return encoded.groupBy(*KEYS).applyInPandas(decode, "file string, block_id long, line_no long, line string, final_newline boolean")
 
 
-def write_log(lines: DataFrame, path: str) -> None:
-    """Restored lines as text in order, a range of lines a file. Latin-1 bytes come back as they were read."""
-    text = lines.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
-    text.select(F.encode("line", "ISO-8859-1").cast("string").alias("value")).write.mode("overwrite").text(path)
+def write_log(lines: DataFrame, path: str, charset: str = "ISO-8859-1") -> DataFrame:
+    """Restored lines as the files they came from, byte for byte: one below path for each, named as it was below their common folder.
+
+    Returns (file, target, lines, bytes). A file's lines stream through one task in order, so a file may be larger than memory,
+    and files are written side by side. Each is written under another name and renamed when it is whole, so a repeated task
+    replaces its file. path is anything that pyarrow.fs opens on the executors: a shared folder, hdfs://, s3://, gs://.
+    charset: as the lines were read; lines that it cannot hold raise.
+    """
+    low, high = lines.agg(F.min("file"), F.max("file")).first()
+    common = os.path.commonprefix([low or "", high or ""])
+    skip = common.rfind("/") + 1
+    schema = "file string, target string, lines long, bytes long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = LogFiles(path, charset, skip)
+        for batch in batches:
+            out.add(*[batch.column(i).to_pylist() for i in range(3)])
+        out.close()
+        yield pa.RecordBatch.from_pylist(out.done, pa.schema([("file", pa.string()), ("target", pa.string()), ("lines", pa.int64()), ("bytes", pa.int64())]))
+
+    ordered = lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", "line", "final_newline")
+    found = ordered.mapInArrow(run, schema)
+    return lines.sparkSession.createDataFrame(found.collect(), schema)  # a row a file
+
+
+class LogFiles:
+    """Writes files in turn: lines come ordered by file."""
+
+    def __init__(self, path: str, charset: str, skip: int):
+        if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+            self.fs, self.root = fs.FileSystem.from_uri(path)
+        else:
+            self.fs, self.root = fs.LocalFileSystem(), os.path.abspath(path)
+        self.charset, self.skip, self.file, self.out, self.done = charset, skip, None, None, []
+
+    def add(self, files: list[str], lines: list[str], newlines: list[bool]) -> None:
+        at = 0
+        while at < len(files):
+            to = at + 1
+            while to < len(files) and files[to] == files[at]:
+                to += 1
+            if files[at] != self.file:
+                self.close()
+                self.open(files[at])
+            data = ("\n" if self.n else "") + "\n".join(lines[at:to])
+            self.put(data)
+            self.n, self.newline, at = self.n + to - at, newlines[to - 1], to
+
+    def put(self, text: str) -> None:
+        self.bytes += self.out.write(text.encode(self.charset)) or 0
+
+    def open(self, file: str) -> None:
+        self.file, self.n, self.bytes = file, 0, 0
+        self.target = f"{self.root}/{file[self.skip :] or 'log'}"
+        self.partial = f"{self.target}.{uuid.uuid4().hex}"
+        self.fs.create_dir(os.path.dirname(self.target), recursive=True)
+        self.out = self.fs.open_output_stream(self.partial)
+
+    def close(self) -> None:
+        if self.out is None:
+            return
+        if self.newline:
+            self.put("\n")
+        self.out.close()
+        self.fs.move(self.partial, self.target)
+        self.done.append({"file": self.file, "target": self.target, "lines": self.n, "bytes": self.bytes})
+        self.out = None
 
 
 def failures(parsed: DataFrame) -> DataFrame:
