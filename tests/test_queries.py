@@ -39,7 +39,7 @@ def test_roundtrip_multi_trains_on_all_documents(spark, sf, monkeypatch):
     class Seen(Exception):
         pass
 
-    def train(lines, *_):
+    def train(lines, *_, **__):
         raise Seen(lines.select("block_id").distinct().count(), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").distinct().count())
 
     monkeypatch.setattr(catalog.pipeline, "train", train)

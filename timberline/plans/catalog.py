@@ -278,9 +278,9 @@ def record_rebuild(spark, sf_dir):
     return m.select("line_no", tk.rebuild(F.lit(CONTENT), F.col("vars")).alias("content"))
 
 
-@query(f"{SHAPED} SELECT block_id, line_no, CASE WHEN k IN ('7', '42') THEN 'matched' ELSE 'match' END AS stream, line FROM s WHERE block_id < 3")
+@query(f"{SHAPED} SELECT block_id, line_no, CASE WHEN k IN ('7', '42') THEN 'matched' ELSE 'match' END AS stream, line FROM s")
 def stream_merge(spark, sf_dir):
-    m = matched_events(spark, sf_dir, FIXED).where("block_id < 3")
+    m = matched_events(spark, sf_dir, FIXED)
     good = m.where("eid > 0").select("block_id", "line_no", F.lit("matched").alias("stream"), "line")
     return good.unionByName(m.where("eid = 0").select("block_id", "line_no", F.lit("match").alias("stream"), "line"))
 
@@ -539,7 +539,7 @@ def tree_miner_templates(spark, sf_dir):
 
 
 def _trip(lines: DataFrame, config: LogConfig, miner: str = "mask") -> DataFrame:
-    model = pipeline.train(lines, config, miner)
+    model = pipeline.train(lines, config, miner, sample=False)
     return pipeline.restore(pipeline.compress(lines, model, config), model, config)
 
 
@@ -558,14 +558,14 @@ def roundtrip_rules(spark, sf_dir):
 def roundtrip_multi(spark, sf_dir):
     config = LogConfig(head_slots=0, boundary=DOCS.boundary)
     lines = views.doc_lines(spark, sf_dir).select(F.lit("").alias("file"), F.col("doc_id").alias("block_id"), "line_no", "line", F.lit(True).alias("final_newline"))
-    model = pipeline.train(lines, config, "mask")
+    model = pipeline.train(lines, config, "mask", sample=False)
     return pipeline.restore(pipeline.compress(lines, model, config), model, config).select(F.col("block_id").alias("doc_id"), "line_no", "line")
 
 
 @query()
 def compression_ratio(spark, sf_dir):
     lines = views.event_log(spark, sf_dir)
-    model = pipeline.train(lines, EVENTS, "mask")
+    model = pipeline.train(lines, EVENTS, "mask", sample=False)
     encoded = pipeline.compress(lines, model, EVENTS, archive=True)
     return pipeline.metrics(lines, encoded, pipeline.parse(lines, model, EVENTS))
 
