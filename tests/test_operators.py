@@ -116,11 +116,15 @@ def test_orphans_and_heads(spark):
 
 
 def fold(rows, st_, levels=5):
-    """The mining rules over one list, written plainly: nested dicts by length, then tokens; words only below the child cap."""
+    """The mining rules over one list, written plainly: nested dicts by length, then tokens; words only below the child cap.
+
+    A leaf lies below as many tokens as there are levels, or one less than the record has, whichever is fewer.
+    """
     root, clusters = {}, []
     for toks in rows:
         node, hit = root.setdefault(len(toks), {}), None
-        for t in toks[:levels]:
+        way = toks[: min(levels, len(toks) - 1)]
+        for t in way:
             node = node.get(t, node.get("<*>")) if node is not None else None
             if node is None:
                 break
@@ -148,7 +152,7 @@ def fold(rows, st_, levels=5):
         cluster = [list(toks), 1]
         clusters.append(cluster)
         node = root[len(toks)]
-        for t in toks[:levels]:
+        for t in way:
             if t not in node and (any(ch in "0123456789" for ch in t) or len(node) >= 99):
                 t = "<*>"
             node = node.setdefault(t, {})
@@ -170,10 +174,58 @@ def test_tree_miner_is_the_sequential_fold(spark, similarity):
     assert [(t[2], t[3]) for t in got] == fold(masked, similarity)
 
 
-def test_sql_functions(spark):
+def test_last_token_of_a_short_record_is_no_key(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["login anna", "login bob", "login carl", "logout", "logout", "a b c d e f", "a b c d e g"]
+    df = spark.createDataFrame([(0, i, t, "ok") for i, t in enumerate(texts)], "block_id long, rec_id long, c string, status string").withColumn("toks", tk.tokens(F.col("c")))
+    assert [("".join(t[2]), t[3]) for t in mining.tree_templates(df, LogConfig())] == [("login <*>", 3), ("logout", 2), ("a b c d e <*>", 2)]
+
+
+def test_templates_too_long_or_too_many():
+    from timberline.plans.model import usable
+
+    templates = [(i, i, ["a"] * (3 if i % 2 else 60), 2) for i in range(1, 9)]
+    with pytest.warns(UserWarning, match="4 templates are too long and 1 too many"):
+        assert [t[0] for t in usable(templates, LogConfig(max_tokens=50, max_templates=3))] == [1, 3, 5]
+    assert usable(templates, LogConfig()) == templates
+
+
+def test_boundary_by_search(spark):
+    rows = [(i, t) for i, t in enumerate(["x[1] a", " b", "[2] c"])]
+    lines = spark.createDataFrame(rows, "line_no long, line string")
+    got = lambda config: [r["raw"] for r in framing.frame(lines, [], config).orderBy("rec_id").collect()]
+    assert got(LogConfig(boundary=r"\[\d", search=True)) == ["x[1] a\n b", "[2] c"]
+    assert got(LogConfig(boundary=r"\[\d\]")) == ["x[1] a", " b", "[2] c"]
+
+
+def test_all_triples_are_scored(spark):
+    """Also over identifiers and over many columns, by one constant list of places."""
+    from pyspark.sql import functions as F
+
+    from timberline.operators import rules
+
+    forms = rules.all_forms([str(i) for i in range(6)], ["9"])
+    rows = spark.createDataFrame([([(i * k * 7 + k) % 11 for k in range(len(forms))],) for i in range(40)], "v array<bigint>")
+    three = rules.triples(forms)
+    assert any(f[0].ident for f in three) and len(three) > 2_000
+    place = {f: i for i, f in enumerate(forms)}
+    some = [(f,) for f in forms] + rules.pairs(forms) + three
+    found = {some[r["candidate"]]: r["entropy"] for r in rules.entropies_of(rows, F.col("v"), [tuple(place[f] for f in c) for c in some]).collect()}
+    assert len(found) == len(some)
+    check = some[:3] + some[len(forms) : len(forms) + 3] + some[-3:]
+    name = lambda c: "-".join(f.name for f in c)
+    exprs = {name(c): F.expr(" - ".join(f"v[{place[f]}]" for f in c)) for c in check}
+    assert all(abs(found[c] - e["entropy"]) < 1e-9 for c in check for e in rules.entropies(rows, exprs).collect() if e["candidate"] == name(c))
+
+
+def test_sql_functions(spark, tmp_path):
     from timberline.functions import register
 
     register(spark)
+    (tmp_path / "a.log").write_bytes(b"one\r\n\xff two\n\nend")
+    got = spark.sql(f"SELECT r.* FROM (SELECT '{tmp_path}/a.log' AS path UNION ALL SELECT CAST(NULL AS STRING)) f, LATERAL log_records(f.path) r ORDER BY line_no").collect()
+    assert [tuple(r) for r in got] == [(0, "one\r"), (1, "\xff two"), (2, ""), (3, "end")]
     r = spark.sql("SELECT log_tokens('a=1') t, log_mask(log_tokens('a=1')) m, zigzag(-3) z, unzigzag(5) u, varint_len(300) n").first()
     assert (r["t"], r["m"], r["z"], r["u"], r["n"]) == (["a", "=", "1"], ["a", "=", "<*>"], 5, -3, 2)
 
@@ -200,7 +252,8 @@ def test_stream(spark, tmp_path):
 def test_presets():
     from timberline.config import PRESETS, preset
 
-    assert preset("Hadoop").head_slots == 3 and len(PRESETS) == 16
+    assert preset("Hadoop").head_slots == 3 and len(PRESETS) == 16 + 18 + 19
+    assert preset("LogC").head_slots == 3 and preset("LogC").boundary and preset("LogQ").boundary is None
     with pytest.raises(ValueError):
         LogConfig(level="X")
 
@@ -229,4 +282,54 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "a.log").write_text(texts)
     for args in (f"train -I {tmp_path}/a.log -T {tmp_path}/m -L 2", f"compress -I {tmp_path}/a.log -T {tmp_path}/m -O {tmp_path}/z -L 2 -B 20", f"restore -I {tmp_path}/z -T {tmp_path}/m -O {tmp_path}/r -L 2 -B 20"):
         main(args.split(), spark)
-    assert "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part*"))) == texts
+    assert (tmp_path / "r" / "a.log").read_text() == texts
+
+
+def test_commands_on_tables_and_columns(spark, tmp_path):
+    from timberline.__main__ import main
+
+    (tmp_path / "p.csv").write_text("\n".join(["n,a,b,who", *[f"{i},{i * 7},{i * 7 + 5},{i % 3}" for i in range(60)]]))
+    main(f"rules -I {tmp_path}/p.csv --order n -O {tmp_path}/rules".split(), spark)
+    assert {r["new"] for r in spark.read.parquet(str(tmp_path / "rules")).collect()} <= {"a", "b", "who"}
+    main(f"entropy -I {tmp_path}/p.csv -O {tmp_path}/entropy".split(), spark)
+    found = {r["candidate"]: r["entropy"] for r in spark.read.parquet(str(tmp_path / "entropy")).collect()}
+    assert found["b - a"] == 0.0 and found["a"] > 200 and any(c.count(" - ") == 2 for c in found)
+    main(f"delta -I {tmp_path}/p.csv --column a --order n --ident who -O {tmp_path}/delta".split(), spark)
+    rows = spark.read.parquet(str(tmp_path / "delta")).collect()
+    assert {(r["up"], r["do"]) for r in rows if 3 <= int(r["n"]) < 57} == {(21, 21)}
+    values = [0, -1, 63, -64, 64, 2**31, -(2**40)]
+    (tmp_path / "c").mkdir()
+    for name in ("x.col", "y.col"):
+        (tmp_path / "c" / name).write_text("".join(f"{v}\n" for v in values))
+    for kind in ("Z", "NE", "P"):
+        main(f"encode -I {tmp_path}/c -O {tmp_path}/e{kind} -E {kind} -B 3".split(), spark)
+        main(f"decode -I {tmp_path}/e{kind} -O {tmp_path}/d{kind} -B 3".split(), spark)
+        assert all((tmp_path / f"d{kind}" / n).read_text() == (tmp_path / "c" / n).read_text() for n in ("x.col", "y.col"))
+    (tmp_path / "s.log").write_text("".join(f"line {i}\n" for i in range(5_000)))
+    main(f"sample -I {tmp_path}/s.log -O {tmp_path}/s -R 0.0".split(), spark)
+    text = (tmp_path / "s" / "s.log").read_text().splitlines()
+    assert len(text) == 1_000 and text == sorted(text, key=lambda t: int(t[5:]))
+
+
+def test_batch_goes_on_after_an_error(spark, tmp_path):
+    from timberline.plans import batch
+
+    for kind in ("Spark", "Hpc"):
+        (tmp_path / "logs" / kind).mkdir(parents=True)
+        for k in range(2):
+            (tmp_path / "logs" / kind / f"{k}.log").write_bytes("".join(f"17/06/09 20:10:{i % 60:02d} INFO task {i * 3} on \xff{k}\n" for i in range(60)).encode("latin-1")[: -k or None])
+    config = lambda kind: preset_of(kind)
+    from timberline.config import preset as preset_of
+
+    steps = ["train", "compress", "restore"]
+    folders = [str(tmp_path / x) for x in ("logs", "models", "encoded", "restored", "log")]
+    made = batch.run(spark, ["Spark", "Missing", "Hpc"], steps, lambda k: config(k if k != "Missing" else "Hpc"), *folders).collect()
+    assert [(r["type"], r["step"], r["status"]) for r in made] == [*[("Spark", s, "ok") for s in steps], ("Missing", "train", "failed"), *[("Hpc", s, "ok") for s in steps]]
+    for kind in ("Spark", "Hpc"):
+        for k in range(2):
+            assert (tmp_path / "restored" / kind / f"{k}.log").read_bytes() == (tmp_path / "logs" / kind / f"{k}.log").read_bytes()
+    batch.run(spark, ["Hpc"], ["train"], config, *folders)
+    log = spark.read.parquet(folders[-1])
+    assert log.count() == 8
+    total = {r["type"]: r for r in batch.summary(log).collect()}
+    assert total["Missing"]["errors"] == 1 and total[None]["errors"] == 1 and total["Spark"]["ratio"] > 1 and total[None]["seconds"] >= total["Hpc"]["seconds"] > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -30,7 +31,7 @@ def log(n, seed=1, words=("start", "stop", "read", "lost")):
     return out
 
 
-@pytest.mark.parametrize(("level", "delta", "codec"), [("0", True, "Z"), ("0", False, "NE"), ("0", True, "P"), ("N", True, "NE"), ("N", False, "Z"), ("N", True, "P")])
+@pytest.mark.parametrize(("level", "delta", "codec"), list(itertools.product("0N", (True, False), ("Z", "NE", "P"))))
 def test_configurations(spark, level, delta, codec):
     config = LogConfig(level=level, delta=delta, codec=codec, block_lines=40, rule_rows=5)
     texts = log(100)
@@ -108,7 +109,56 @@ def test_files_byte_for_byte(spark, tmp_path):
     text = "\n".join(r["line"] for r in back) + ("\n" if back[0]["final_newline"] else "")
     assert text.encode("latin-1") == raw
     pipeline.write_log(pipeline.restore(pipeline.compress(lines, model, config), model, config), str(tmp_path / "out"))
-    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part*"))) == raw + b"\n"
+    assert (tmp_path / "out" / "x.log").read_bytes() == raw
+
+
+def test_several_files_come_back_byte_for_byte(spark, tmp_path):
+    """Read in many ranges, encoded in many blocks, written a file each."""
+    from timberline.sources.lines import read_lines
+
+    r = random.Random(4)
+    files = {"a/0.log": b"", "a/1.log": b"\n", "a/2.log": b"x", "b/1.log": "\n".join(log(3000)).encode() + b"\n", "b/2.log": "\r\n".join(log(2000, 2)).encode(), "b/3.log": bytes(r.choice(b"ab \n\r\x00\xff=1") for _ in range(20_000))}
+    for name, raw in files.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(raw)
+    config = LogConfig(block_lines=700)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        lines = read_lines(spark, str(tmp_path / "in" / "*"))
+        rows = lines.collect()
+        for name, raw in files.items():
+            own = sorted((x["line_no"], x["line"], x["final_newline"]) for x in rows if x["file"].endswith(name))
+            assert [x[0] for x in own] == list(range(len(own))), name
+            assert "\n".join(x[1] for x in own).encode("latin-1") + (b"\n" if own and own[0][2] else b"") == raw, name
+        model = pipeline.train(lines, config)
+        back = pipeline.restore(pipeline.compress(lines, model, config), model, config)
+        written = pipeline.write_log(back, str(tmp_path / "out")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(written) == 5  # an empty file has no lines
+    for name, raw in files.items():
+        if raw:
+            assert (tmp_path / "out" / name).read_bytes() == raw, name
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file() and p.suffix != ".log"]
+
+
+def test_wide_characters_are_written_as_they_were_read(spark, tmp_path):
+    from timberline.sources.lines import read_text_lines
+
+    raw = "2024-01-01 00:00:07 INFO 1 日本 🎉=1\n".encode() * 3
+    (tmp_path / "x.log").write_bytes(raw)
+    lines = read_text_lines(spark, str(tmp_path / "x.log"))
+    pipeline.write_log(lines, str(tmp_path / "out"), "UTF-8")
+    assert (tmp_path / "out" / "x.log").read_bytes() == raw
+
+
+def test_blocks_are_sampled_by_file(spark):
+    from timberline.sources.lines import sample_blocks
+
+    lines = spark.range(20 * 4000).selectExpr("concat('f', cast(id % 20 as string)) AS file", "id div 20 AS line_no", "cast(id as string) AS line")
+    got = sample_blocks(lines, LogConfig(sample_least=50, sample_rate=0.0))
+    assert got.count() == 1_000 and got.select("file", "small_block").distinct().count() == 50
+    assert got.select("small_block").distinct().count() > 20 and got.select("file").distinct().count() > 10
 
 
 def test_model_saves_and_loads(spark, tmp_path):
