@@ -171,7 +171,7 @@ def head_share(spark, sf_dir):
     return _widths(spark, sf_dir).select("place", "width", F.round(share, 4).alias("share"), (share >= 0.95).alias("fixed"))
 
 
-#: Event lines with faults by event_id: an empty line, a header of another width, a header alone, a NUL.
+#: Event lines with faults by event_id: an empty line, a header of another width, a header alone.
 FAULTY = f"""
 v AS (SELECT line_no, CASE WHEN line_no % 97 = 0 THEN '' WHEN line_no % 97 = 1 THEN substr(line, 3) WHEN line_no % 97 = 2 THEN substr(line, 1, 23) || ' LEVEL' ELSE line END AS line FROM ({views.EVENT_LOG}) x)
 """
@@ -209,6 +209,25 @@ def fail_reason_counts(spark, sf_dir):
     return header.with_head(framed, 3).withColumn("status", header.head_status(SLOTS, EVENTS)).groupBy("status").agg(F.count("*").alias("n"))
 
 
+#: The same with a NUL in some lines, and some that are longer than LIMITED allows.
+LIMITED = LogConfig(head_slots=3, block_lines=2_000, max_chars=200)
+LIMITS = f"{FAULTY}, g AS (SELECT line_no, CASE WHEN line_no % 97 = 3 THEN line || chr(0) WHEN line_no % 97 = 4 THEN line || repeat('x', 300) ELSE line END AS line FROM v)"
+
+
+@query(
+    f"""WITH {LIMITS}, h AS (SELECT line_no, line, regexp_extract(line, '^([ \\t|]*(?:[^ \\t|\\n]+[ \\t|]*){{3}})', 1) AS head FROM g),
+    x AS (SELECT *, regexp_extract_all(head, '[^ \\t|\\n]+') AS x FROM h)
+    SELECT line_no, CASE WHEN length(line) = 0 THEN 'load_failed:empty' WHEN strpos(line, chr(0)) > 0 THEN 'load_failed:bad_char' WHEN length(line) > 200 THEN 'load_failed:too_long'
+                WHEN head = '' OR NOT regexp_matches(x[1], '{TIMED}') OR NOT regexp_matches(x[2], '{CLOCK}') THEN 'load_failed:wrong_format'
+                WHEN length(line) = length(head) THEN 'load_failed:no_content' ELSE 'ok' END AS status FROM x"""
+)
+def load_failures(spark, sf_dir):
+    n, line = F.col("line_no") % 97, F.col("line")
+    lines = faulty(spark, sf_dir).withColumn("line", F.when(n == 3, F.concat(line, F.lit("\x00"))).when(n == 4, F.concat(line, F.lit("x" * 300))).otherwise(line))
+    framed = framing.frame(lines, ["line_no"], LIMITED)
+    return header.with_head(framed, 3).withColumn("status", header.head_status(SLOTS, LIMITED)).select("line_no", "status")
+
+
 # ---- tokens
 
 
@@ -331,6 +350,31 @@ def id_columns(spark, sf_dir):
     return variables.identifiers(variables.roles(profiled(spark, sf_dir)))
 
 
+#: Order lines of priorities in one word: two string variables, of which the one that varies more can be an identifier.
+ORDER_TEMPLATE = ["<*>", " ", "order", "=", "<*>", " ", "cust", "=", "<*>", " ", "status", "=", "<*>"]
+ORDER_VALUES = f"""WITH o AS ({views.ORDER_LOG}), p AS (SELECT line_no, regexp_extract_all(regexp_extract(line, '^[^ ]+ (.*)$', 1), '{TOKEN}') AS toks FROM o),
+v AS (SELECT line_no, x.pos, x.value FROM p, LATERAL (SELECT unnest([0, 1, 2, 3]) AS pos, unnest([toks[1], toks[5], toks[9], toks[13]]) AS value) x WHERE len(toks) = 13),
+q AS (SELECT pos, CASE WHEN bool_and(CASE WHEN regexp_matches(value, '^(0|[1-9][0-9]{{0,9}})$') THEN CAST(value AS BIGINT) < 2147483648 ELSE false END) THEN 'num' ELSE 'str' END AS kind,
+      count(DISTINCT value) AS n_distinct FROM v GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n_distinct, pos) AS rank, floor(count(*) OVER () * (1 - 0.8::DOUBLE)) + 1 AS fixed FROM q)"""
+
+
+def order_variables(spark, sf_dir) -> DataFrame:
+    o = views.order_log(spark, sf_dir).withColumn("toks", tk.tokens(header.split_head(F.col("line"), 1)["content"])).withColumn("status", F.lit("ok"))
+    matched = matching.match(o, matching.template_table(spark, [(1, 1, ORDER_TEMPLATE, 2)]), ORDERS).withColumnRenamed("line_no", "rec_id")
+    return variables.roles(variables.profile(variables.long_form(matched, [])))
+
+
+@query(f"{ORDER_VALUES} SELECT 1 AS eid, pos, kind, n_distinct, CAST(rank AS INT) AS rank, rank > fixed AS is_op FROM r")
+def order_roles(spark, sf_dir):
+    return order_variables(spark, sf_dir)
+
+
+@query(f"{ORDER_VALUES} SELECT 1 AS eid, pos, CAST(row_number() OVER (ORDER BY pos) AS INT) AS nth FROM r WHERE rank > fixed AND kind = 'str' QUALIFY nth <= 3")
+def order_identifiers(spark, sf_dir):
+    return variables.identifiers(order_variables(spark, sf_dir))
+
+
 # ---- deltas
 
 BLOCK, ORDER = ["block_id"], list(views.ITEM_ORDER)
