@@ -6,7 +6,11 @@ are exploded into a hash join in the same stage: only runs whose hash is known l
 with the window's. The empty window is in the table too and occurs once in every document, so documents without a hit
 come through the same join and no second scan or outer join is needed. One small shuffle then gathers a row's hits.
 
-The table is broadcast only up to `BROADCAST_WINDOWS` windows; more are cut into slices by hash, one pass for each.
+The table is broadcast only up to `BROADCAST_BYTES`, as summed over its windows and items; more is cut into slices by hash,
+one pass over the documents for each. A single window is never cut.
+
+Time and memory are linear in a text's words: the runs of a text are (place, hash) pairs, and its words are read where a
+hash is known but not copied into each run.
 
 Nulls: a null text has no words. An item without text has no windows; one without an id hits words and is not listed.
 Repeated documents each get a row; repeated items count once. Empty tables: no rows, or nothing is hit.
@@ -19,10 +23,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import ascii_lower, materialize
+from timberline.llm.common import ascii_lower, broadcast_if_small, materialize, unused
 
-#: Windows in one broadcast: about 250 bytes each, so under 50 MB.
-BROADCAST_WINDOWS = 200_000
+#: Bytes of one broadcast: the windows' words and items, and WINDOW_BYTES for each window.
+BROADCAST_BYTES, WINDOW_BYTES = 64 << 20, 128
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -50,8 +54,9 @@ def runs(length: int) -> Column:
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, text_hash, n_words, hits (pos, length; sorted), items (distinct)."""
     windows = materialize(windows_of(benchmark, n, item_id, item_text), "windows")
-    sizes = windows.groupBy("length").count().collect()  # at most n rows
-    lengths, slices = sorted(r[0] for r in sizes), max(1, -(-sum(r[1] for r in sizes) // BROADCAST_WINDOWS))
+    weight = F.octet_length(F.array_join("window", " ")) + 16 * F.size("items") + 8 * F.size("window") + WINDOW_BYTES
+    sizes = windows.groupBy("length").agg(F.sum(weight)).collect()  # at most n rows
+    lengths, slices = sorted(r[0] for r in sizes), max(1, -(-sum(r[1] for r in sizes) // BROADCAST_BYTES))
     empty = docs.sparkSession.range(1).select(F.expr("cast(array() as array<string>)").alias("window"), F.lit(None).cast(windows.schema["items"].dataType).alias("items"))
     empty = empty.select("window", "items", F.xxhash64("window").alias("h"), F.lit(0).alias("length"))
 
@@ -64,7 +69,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str =
             part = part.unionByName(empty)
         first = F.array(F.struct(F.lit(1).alias("pos"), F.xxhash64(F.expr("cast(array() as array<string>)")).alias("h"))) if i == 0 else None
         every = [x for x in (first, *map(runs, lengths)) if x is not None]
-        at = own.select("doc_id", "row", "text_hash", "n_words", "w", F.inline(F.concat(*every)))
+        # the array is made first: a generator over a plain column is compiled with what follows, and `w` is not copied for each run
+        at = own.select("doc_id", "row", "text_hash", "n_words", "w", F.concat(*every).alias("runs")).select("doc_id", "row", "text_hash", "n_words", "w", F.inline("runs"))
         hit = at.join(F.broadcast(part), "h").where(F.slice("w", F.col("pos"), F.col("length")) == F.col("window"))
         found.append(hit.select("doc_id", "row", "text_hash", "n_words", F.when(F.col("length") > 0, F.struct("pos", "length")).alias("hit"), "items"))
     return (
@@ -100,15 +106,16 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, span
     A span runs from its first word to the start of the word after it. The flagged documents are written first, so the
     join that drops them is a broadcast where they are few and a shuffle where they are many.
     """
+    of, like, hits, pieces = (unused(docs, x) for x in ("of", "like", "hits", "pieces"))
     flagged = find_hits(docs, benchmark, n, doc_id, text, item_id, item_text).where("size(hits) > 0")
-    flagged = materialize(flagged.groupBy("doc_id", "text_hash").agg(F.first("hits").alias("hits")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "hits"), "flagged")
-    same = F.col("__id").eqNullSafe(docs[doc_id]) & (F.col("__hash") == F.xxhash64(docs[text]))
+    flagged = materialize(flagged.groupBy("doc_id", "text_hash").agg(F.first("hits").alias(hits)).select(F.col("doc_id").alias(of), F.col("text_hash").alias(like), hits), "flagged")
+    same = F.col(of).eqNullSafe(docs[doc_id]) & (F.col(like) == F.xxhash64(docs[text]))
     if not spans:
-        return docs.join(flagged, same, "left_anti")
-    joined = docs.join(flagged.withColumnRenamed("hits", "__hits"), same, "left")
+        return docs.join(broadcast_if_small(flagged.select(of, like)), same, "left_anti")
     # pieces: a word and what stands after it; before the first word stands the head
     word, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"({word}{gap})"), F.lit(1))
-    kept = F.filter(pieces, lambda p, i: ~F.exists(F.col("__hits"), lambda h: (i + 1 >= h["pos"]) & (i + 1 < h["pos"] + h["length"])))
-    cut = F.concat(F.regexp_extract(F.col(text), f"^{gap}", 0), F.array_join(kept, ""))
-    return joined.withColumn(text, F.when(F.col("__hits").isNotNull(), cut).otherwise(F.col(text))).select(*docs.columns)
+    cut = docs.join(flagged, same, "left").withColumn(pieces, F.when(F.col(hits).isNotNull(), F.regexp_extract_all(F.col(text), F.lit(f"({word}{gap})"), F.lit(1))))
+    gone = F.flatten(F.transform(hits, lambda h: F.sequence(h["pos"], h["pos"] + h["length"] - 1)))
+    left = F.array_except(F.when(F.size(pieces) > 0, F.sequence(F.lit(1), F.size(pieces))), gone)  # by a hash table: linear
+    whole = F.concat(F.regexp_extract(F.col(text), f"^{gap}", 0), F.array_join(F.transform(left, lambda i: F.get(F.col(pieces), i - 1)), ""))
+    return cut.withColumn(text, F.when(F.col(hits).isNotNull(), whole).otherwise(F.col(text))).select(*docs.columns)
