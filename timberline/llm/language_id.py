@@ -5,9 +5,9 @@ known word adds its log frequencies. An unseen word backs off: it is covered fro
 the model knows (5 down to 1 characters), whose log frequencies are added; characters that no n-gram covers add nothing.
 The score is the posterior of the best language, with the evidence per word tempered so that long texts stay gradual.
 
-The model is fitted on a bounded sample of the labelled training rows: `SAMPLE` documents at most, drawn by a hash of
-the id, so it behaves alike at every size. It keeps the `WORDS` most frequent words and `GRAMS` most frequent n-grams of
-each length and language, so what is broadcast is bounded too. Every document is predicted from its whole text alone.
+The model is fitted on a bounded sample of the labelled training rows: `SAMPLE` documents or a little more, drawn by a hash
+of the id, so it behaves alike at every size. It holds every word of the sample and every n-gram of these words, so what is
+broadcast is bounded by the sample. Every document is predicted from its whole text alone, runs of letters of any length whole.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Letters that no language has get the
 first language by name with an even score. Rows with a null text or language do not train. With
@@ -21,20 +21,18 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from timberline.llm.common import map_texts
+from timberline.llm.common import map_texts, unused
 
-SAMPLE = 8_000
-WORDS = 20_000
-GRAMS = 10_000
+#: Labelled documents that the model is fitted on.
+SAMPLE = 4_000
 LONGEST = 5
 #: Added to every count.
 SMOOTH = 0.5
 #: The evidence counts as if from so many words at most.
 TEMPER = 12.0
-#: Tokens that a worker remembers; the table starts anew when full.
-MEMO = 1 << 17
+#: Tokens that a worker remembers, of up to so many characters; the table starts anew when full.
+MEMO, MEMO_LENGTH = 1 << 17, 64
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -47,41 +45,41 @@ def count_grams(texts: DataFrame) -> DataFrame:
     """texts (lang, text) -> (lang, size, gram, n): words (size 0) and their n-grams; n-grams are cut from distinct words."""
     found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("gram")
     words = texts.select("lang", found).groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    marked = words.select("lang", "n", F.concat(F.lit("^"), F.substring("gram", 1, 64), F.lit("$")).alias("w"))
-
-    def cut(k: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length("w") - k + 1), lambda i: F.struct(k.alias("size"), F.substring(F.col("w"), i, k).alias("gram")))
-
-    sizes = F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("w")))
-    grams = marked.select("lang", "n", F.inline(F.flatten(F.transform(sizes, cut)))).groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    return words.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(grams)
+    marked = F.concat(F.lit("^"), "gram", F.lit("$"))
+    # a look-ahead takes the n characters behind each place
+    sized = [F.struct(F.lit(k).alias("size"), F.regexp_extract_all(marked, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)).alias("grams")) for k in range(1, LONGEST + 1)]
+    grams = words.select("lang", "n", F.inline(F.array(*sized))).select("lang", "size", F.explode("grams").alias("gram"), "n")
+    return words.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
 
 
 class Model:
-    """rows: gram -> log frequencies by language; words and n-grams have tables of their own."""
+    """rows: gram -> log frequencies by language, as a row of one table; words and n-grams have dictionaries of their own."""
 
     def __init__(self, counts: list[tuple[str, int, str, int]]):
         self.languages = sorted({lang for lang, *_ in counts})
         place = {lang: i for i, lang in enumerate(self.languages)}
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        totals = np.zeros((LONGEST + 1, max(1, len(self.languages))))
-        for lang, size, gram, n in counts:
-            if gram not in tables[size]:
-                tables[size][gram] = np.full(len(self.languages), SMOOTH, dtype=np.float64)
-            tables[size][gram][place[lang]] += n
-            totals[size][place[lang]] += n
-        for size, table in enumerate(tables):
-            base = np.log(totals[size] + SMOOTH * (len(table) + 1))
-            for gram, n in table.items():
-                row = np.log(n) - base
-                table[gram] = (row - row.max()).astype(np.float32)  # only differences between languages matter
-        self.words, self.grams = tables[0], tables
+        self.grams: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        tables = []
+        for size, own in enumerate(self.grams):
+            rows = [(own.setdefault(gram, len(own)), place[lang], n) for lang, s, gram, n in counts if s == size]
+            table = np.full((len(own), max(1, len(self.languages))), SMOOTH)
+            if rows:
+                at, lang, n = (np.array(x) for x in zip(*rows, strict=True))
+                np.add.at(table, (at, lang), n)
+            total = table.sum(axis=0) - SMOOTH * len(own)
+            table = np.log(table) - np.log(total + SMOOTH * (len(own) + 1))
+            tables.append((table - table.max(axis=1, keepdims=True, initial=-np.inf)).astype(np.float32))  # only differences between languages matter
+        self.tables = tables
+
+    def row(self, size: int, gram: str) -> np.ndarray | None:
+        at = self.grams[size].get(gram)
+        return None if at is None else self.tables[size][at]
 
     def back_off(self, word: str) -> np.ndarray | None:
-        word, at, total, used = f"^{word[:64]}$", 0, None, 0
+        word, at, total, used = f"^{word}$", 0, None, 0
         while at < len(word):
             for k in range(min(LONGEST, len(word) - at), 0, -1):
-                if (row := self.grams[k].get(word[at : at + k])) is not None:
+                if (row := self.row(k, word[at : at + k])) is not None:
                     total = row if total is None else total + row
                     used += 1
                     at += k
@@ -95,7 +93,7 @@ class Model:
         total, seen, n = np.zeros(len(self.languages)), 0, 0
         for w in LETTERS.findall(token):
             n += any(map(str.isalpha, w))
-            row = self.words.get(w)
+            row = self.row(0, w)
             if row is None:
                 row = self.back_off(w)
             if row is not None:
@@ -112,21 +110,33 @@ class Scorer(dict):
         self.model, self.rows = model, np.zeros((MEMO + 1, len(model.languages) + 2), dtype=np.float32)
 
     def __missing__(self, token: str) -> int:
-        total, seen, words = self.model.token(token)
         self[token] = n = len(self)
-        self.rows[n, :-2], self.rows[n, -2], self.rows[n, -1] = total, seen, words
+        self.keep(n, token)
         return n
 
+    def keep(self, n: int, token: str) -> None:
+        total, seen, words = self.model.token(token)
+        self.rows[n, :-2], self.rows[n, -2], self.rows[n, -1] = total, seen, words
+
+    def sums(self, tokens: list[str]) -> np.ndarray:
+        """The rows of at most half of what is remembered, added up."""
+        long = [t for t in tokens if len(t) > MEMO_LENGTH]
+        short = [t for t in tokens if len(t) <= MEMO_LENGTH] if long else tokens
+        if len(self) + len(short) > MEMO:
+            self.clear()
+        total = self.rows[np.fromiter(map(self.__getitem__, short), dtype=np.int64, count=len(short))].sum(axis=0, dtype=np.float64)
+        for t in long:  # the last row is for what is not remembered
+            self.keep(MEMO, t)
+            total += self.rows[MEMO]
+        return total
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.languages:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.model.languages) + 2)
         tokens = text.lower().split()
         for a in range(0, len(tokens), MEMO // 2):
-            part = tokens[a : a + MEMO // 2]
-            if len(self) + len(part) > MEMO:
-                self.clear()
-            total += self.rows[np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0, dtype=np.float64)
+            total += self.sums(tokens[a : a + MEMO // 2])
         total, seen, words = total[:-2], total[-2], total[-1]
         if not words:
             return UNKNOWN, 0.0
@@ -142,11 +152,8 @@ def fit(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "
     n = labelled.count()  # reads no texts
     if n > sample:
         labelled = labelled.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    counts = count_grams(labelled.where(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")))
-    nth = F.row_number().over(W.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
-    most = F.when(F.col("size") == 0, WORDS).otherwise(GRAMS)
-    kept = counts.where("n > 1 OR size < 3").withColumn("nth", nth).where(F.col("nth") <= most)
-    return Model([tuple(r) for r in kept.select("lang", "size", "gram", "n").collect()])  # bounded by WORDS and GRAMS
+    counts = count_grams(labelled.where(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))).toArrow()  # bounded by the sample
+    return Model(list(zip(*[counts.column(c).to_pylist() for c in ("lang", "size", "gram", "n")], strict=True)))
 
 
 def predict_languages(docs: DataFrame, model: Model, keep: dict[str, str], text: str = "text") -> DataFrame:
@@ -168,7 +175,8 @@ def keep_confident(docs: DataFrame, model: Model, least: float, text: str = "tex
         scorer = Scorer(shared.value)
         return lambda texts: [(lang != UNKNOWN and score >= least,) for lang, score in map(scorer.predict, texts)]
 
-    return map_texts(docs, text, {c: c for c in docs.columns}, "__kept boolean", make).where("__kept").select(*docs.columns)
+    kept = unused(docs, "kept")
+    return map_texts(docs, text, {c: c for c in docs.columns}, f"`{kept}` boolean", make).where(F.col(kept)).select(*docs.columns)
 
 
 def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
