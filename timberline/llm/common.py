@@ -7,6 +7,7 @@ executor costs a re-read and not a recomputation of everything before.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,11 +30,13 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables; a folder of our own only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.timberline.scratch", None)
     if not root:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             root = tempfile.mkdtemp(prefix="timberline-")
             atexit.register(shutil.rmtree, root, ignore_errors=True)
         else:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+            if re.match(r"(file:)?/", root):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; the warehouse {root} may be a local one")
         spark.conf.set("spark.timberline.scratch", root)
     return root.rstrip("/")
 
@@ -90,7 +93,7 @@ def map_texts(df: DataFrame, text: str, keep: dict[str, str], fields: str, make:
     make() runs once a task and gives a function from a batch's texts (None for null) to one tuple of `fields` a text.
     """
     bound_batches(df.sparkSession)
-    own = df.select(*[F.col(c).alias(n) for n, c in keep.items()], F.col(text).alias("__text"))
+    own = df.select(*[F.col(c).alias(n) for n, c in keep.items()], F.col(text).alias(unused(df.select(*keep.values()).toDF(*keep) if keep else df, "text")))  # taken by its place
     added = T.StructType.fromDDL(fields)
     names, kinds = [f.name for f in added], [to_arrow_type(f.dataType) for f in added]
 
@@ -126,10 +129,10 @@ def lookup_hot(rows: DataFrame, table: DataFrame, key: str, counts: str, total:
     hot = table.where(F.col(counts) > floor).drop(counts)
     if hot.isEmpty():
         return rows.join(table.drop(counts), key, "left")
-    own = [c for c in table.columns if c not in (key, counts)]
-    first = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
-    found = first.where(F.col("__hot")).drop("__hot")
-    rest = first.where(F.col("__hot").isNull()).drop("__hot", *own)
+    own, known = [c for c in table.columns if c not in (key, counts)], unused(rows, "known")
+    first = rows.join(F.broadcast(hot.withColumn(known, F.lit(True))), key, "left")
+    found = first.where(F.col(known)).drop(known)
+    rest = first.where(F.col(known).isNull()).drop(known, *own)
     return found.unionByName(rest.join(table.where(F.col(counts) <= floor).drop(counts), key, "left"))
 
 

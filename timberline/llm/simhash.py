@@ -15,7 +15,9 @@ within two bits just if they name a common point, and no point is named by more
 Components are found by star rounds over the links alone; documents join their class at the end.
 
 Nulls: a null or empty text has fingerprint zero and is linked like any other. A row without an id takes part, and is
-never a component's id unless no member has one. Repeated rows repeat. An empty table gives no rows.
+never a component's id unless no member has one. Repeated rows repeat. An empty table gives no rows. Ties: a bit set in just half
+of the hashes is 0; of a component the smallest id stays, and of rows with that id the smallest hash of a text. Texts are hashed
+whole, in time linear in their length, a batch's bytes at a time. Extra columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
