@@ -6,10 +6,13 @@ positions chosen by content such that every string of LENGTH bytes holds at leas
 
 1. Anchors whose k-mer occurs in one text alone cannot be part of a repeat. One shuffle of (k-mer hash, text hash, place)
    drops them; the window that finds them sorts and spills, and what a batch knows to be shared takes no part in it but
-   for two rows, so a frequent k-mer is neither a hot key nor held in memory.
+   for two rows, so a frequent k-mer is neither a hot key nor held in memory. Of a text with many copies only the first is looked at.
 2. For the anchors left, the suffix's leading bytes and the few bytes before it are shipped to buckets cut by sampled
    splitters over the leading three 8-byte tokens. Equal contexts of one batch are decided on the spot and only the earliest is
-   shipped, so hot passages arrive once a batch.
+   shipped, so the inside of a hot passage arrives once a batch; what is decided goes to any bucket. At the borders of a hot
+   passage contexts differ. A k-mer that the sample shows to hold more than a bucket is split: strings that start in a
+   range of places before the anchor share the bytes that all of them have, so for each range the contexts are dealt by these
+   bytes. That sends such a context once for each of `RANGES`, and only some of them with all others of its k-mer.
 3. A bucket sorts its suffixes by multikey quicksort on 8-byte tokens, and what stands before them likewise, backwards.
    Neighbours' common lengths to both sides give, for each offset, the classes of equal strings; each class knows its
    smallest document. Splitters never part equal leading tokens, so no string crosses a boundary.
@@ -19,7 +22,9 @@ Exact copies of a text are found by digest first: all but the earliest lose ever
 part of step 2. Step 1 tells texts apart by 64-bit hashes; a pair of texts would have to collide to hide its repeats.
 
 Nulls: a null text counts as empty. A row without an id loses nothing and takes nothing from others. Repeated rows (same
-id) take nothing from one another. An empty table gives no rows.
+id) take nothing from one another. An empty table gives no rows. Ties: of documents that share a string the smallest id keeps it,
+and copies of a text with that id keep it too; a string twice in one document is no repeat. Texts are read whole, as UTF-8
+bytes, in pieces of `SEGMENT` bytes, in time linear in their length but for the sort of a bucket.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from timberline.llm.common import bound_batches, buffers, lookup_hot, materialize
+from timberline.llm.common import bound_batches, broadcast_if_small, buffers, lookup_hot, materialize
 
 LENGTH, K = 50, 24
 #: Bytes before an anchor that a string with this anchor can start at, and bytes of a context.
@@ -42,6 +47,10 @@ BACK = LENGTH - K
 WIDTH = BACK + LENGTH
 #: Bytes hashed at once (with 21 bits for a place), contexts of a bucket, most buckets, most suffixes sampled for splitters.
 SEGMENT, BUCKET, MOST_BUCKETS, SAMPLE = 1 << 20, 1 << 15, 1 << 16, 1 << 17
+#: Copies of a text from which on all but the first are left out before its anchors are made.
+MANY = 64
+#: Ranges of places before an anchor, first and last, by which a hot k-mer's contexts are dealt; together all places.
+RANGES = ((0, 0), (1, 1), (2, 2), (3, 3), (4, 6), (7, 13), (14, BACK))
 
 BASE = 0x9E3779B97F4A7C15
 LOW = np.uint64((1 << 21) - 1)
@@ -134,6 +143,9 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     them go to the hash, to tell other batches, and the rest get keys of their own, so a frequent k-mer is no hot key.
     """
     for batch in batches:
+        _, once = np.unique(batch.column(0).to_numpy(), return_index=True)
+        if len(once) < batch.num_rows:
+            batch = batch.take(pa.array(np.sort(once)))
         data, offsets = buffers(batch.column(1))
         doc, pos, h = anchors(data[: offsets[-1]], offsets)
         th = batch.column(0).to_numpy()[doc]
@@ -226,7 +238,7 @@ def merge(intervals: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def context_rows(splitters: np.ndarray):
+def context_rows(splitters: np.ndarray, hot: np.ndarray):
     """(doc_id, mark, positions, text) -> contexts (bucket, doc_id, mark, pos, left, right, ctx); ctx null: decided, [pos - left, pos + right) goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,29 +257,47 @@ def context_rows(splitters: np.ndarray):
             order = np.argsort(ids[doc], kind="stable")  # the earliest document first
             pos, doc = pos[order], doc[order]
             for a in range(0, len(pos), 1 << 16):
-                yield contexts_of(data, offsets, sizes, pos[a : a + (1 << 16)], doc[a : a + (1 << 16)], ids, batch.column(1), splitters)
+                yield from contexts_of(data, offsets, sizes, pos[a : a + (1 << 16)], doc[a : a + (1 << 16)], ids, batch.column(1), splitters, hot)
 
     return run
 
 
-def contexts_of(data, offsets, sizes, pos, doc, ids, marks, splitters) -> pa.RecordBatch:
-    left, right = np.minimum(pos, BACK), np.minimum(sizes[doc] - pos, LENGTH)
+def contexts_of(data, offsets, sizes, pos, doc, ids, marks, splitters, hot) -> Iterator[pa.RecordBatch]:
+    """The contexts of anchors, those of hot k-mers once for each range."""
+    first = leading(data[(offsets[doc] + pos)[:, None] + np.arange(K)[None, :]])
+    often = hot[np.minimum(np.searchsorted(hot, first), len(hot) - 1)] == first if len(hot) else np.zeros(len(pos), dtype=bool)
+    if not often.all():
+        plain = ~often
+        yield contexts_in(data, offsets, sizes, pos[plain], doc[plain], ids, marks, len(splitters) + 1, np.searchsorted(splitters, first[plain], side="right"), 0, BACK)
+    if often.any():
+        for low, high in RANGES:
+            yield contexts_in(data, offsets, sizes, pos[often], doc[often], ids, marks, len(splitters) + 1, None, low, high)
+
+
+def contexts_in(data, offsets, sizes, pos, doc, ids, marks, buckets, bucket, low, high) -> pa.RecordBatch:
+    """Contexts for strings that start `low` to `high` bytes before the anchor; left and right are cut down to what these can reach.
+
+    bucket: of each, or None to deal them by the bytes that strings of the range have in common.
+    """
+    left, right = np.minimum(pos, high), np.minimum(sizes[doc] - pos, LENGTH - low)
     at = (offsets[doc] + pos)[:, None] + np.arange(-BACK, LENGTH)[None, :]
     real = (np.arange(-BACK, LENGTH)[None, :] >= -left[:, None]) & (np.arange(-BACK, LENGTH)[None, :] < right[:, None])
     ctx = np.where(real, data[np.clip(at, 0, max(len(data) - 1, 0))], 0).astype(np.uint8)
+    if bucket is None:
+        shared = ctx[:, BACK - low : BACK + LENGTH - high].astype(np.uint64) + np.uint64(1)
+        mixed = (shared * powers()[0][1 : shared.shape[1] + 1]).sum(axis=1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        bucket = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
     whole = np.ascontiguousarray(np.concatenate([ctx, left.astype(np.uint8)[:, None], right.astype(np.uint8)[:, None]], axis=1))
     _, first, same = np.unique(whole.view(f"V{WIDTH + 2}").ravel(), return_index=True, return_inverse=True)
     earlier = ids[doc] > ids[doc[first[same]]]  # the same bytes in an earlier document of this batch
-    bucket = np.searchsorted(splitters, leading(ctx[:, BACK : BACK + K]), side="right")
-    keep = ~earlier | (left + right >= LENGTH)
-    flat = np.ascontiguousarray(ctx)
-    made = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(ctx), [None, pa.py_buffer(flat)]).cast(pa.binary())
+    bucket = np.where(earlier, (pos + ids[doc]) % buckets, bucket)  # what is decided may go anywhere
+    made = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(ctx), [None, pa.py_buffer(np.ascontiguousarray(ctx))]).cast(pa.binary())
     made = pc.if_else(pa.array(earlier), pa.scalar(None, pa.binary()), made)
     out = pa.RecordBatch.from_arrays(
         [pa.array(bucket.astype(np.int32)), pa.array(ids[doc]), marks.take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), made],
         names=["bucket", "doc_id", "mark", "pos", "left", "right", "ctx"],
     )
-    return out.filter(pa.array(keep))
+    return out.filter(pa.array(left + right >= LENGTH))  # else no string fits
 
 
 def bucket_runs(table: pa.Table) -> pa.Table:
@@ -304,10 +334,10 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def sampled_splitters(docs: DataFrame, rows: int, buckets: int) -> np.ndarray:
-    """Quantiles of the leading K bytes (three tokens) of anchors in a bounded sample of documents."""
+def sampled_splitters(docs: DataFrame, rows: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(quantiles of the leading K bytes (three tokens) of anchors in a bounded sample of documents, those that fill two buckets or more)."""
     if buckets < 2:
-        return np.empty(0, dtype=f"S{K}")
+        return np.empty(0, dtype=f"S{K}"), np.empty(0, dtype=f"S{K}")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,9 +351,10 @@ def sampled_splitters(docs: DataFrame, rows: int, buckets: int) -> np.ndarray:
     some = docs.where(F.pmod(F.xxhash64("th", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("th", "text")
     found = np.array([bytes(x) for x in some.mapInArrow(lead, "kmer binary").limit(8 * want).toPandas()["kmer"]], dtype=f"S{K}")
     if not len(found):
-        return found
+        return found, found
     found = np.sort(found)
-    return np.unique(found[np.linspace(0, len(found) - 1, buckets + 1).astype(np.int64)[1:-1]])
+    names, counts = np.unique(found, return_counts=True)
+    return np.unique(found[np.linspace(0, len(found) - 1, buckets + 1).astype(np.int64)[1:-1]]), names[counts > max(8, 2 * len(found) // buckets)]
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,7 +371,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # 1. anchors of more than one text
     group = W.partitionBy("key")
-    found = own.where("doc_id is not null").select("th", "text").mapInArrow(anchor_rows, "key long, th long, pos int, known boolean")
+    # of texts with many copies only the first takes part; those with few copies are cut down to one a batch
+    many = first.where(F.col("n") > MANY).select("mark", F.col("doc_id").alias("least"))
+    alone = own.where("doc_id is not null").join(broadcast_if_small(materialize(many, "many")), "mark", "left").where("least is null or least = doc_id")
+    found = alone.select("th", "text").mapInArrow(anchor_rows, "key long, th long, pos int, known boolean")
     shared = found.withColumn("low", F.min("th").over(group)).withColumn("high", F.max("th").over(group)).where("known or low < high")
     places = materialize(shared.groupBy("th").agg(F.collect_set("pos").alias("positions")), "anchors")
 
@@ -348,10 +382,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     total = places.agg(F.sum(F.size("positions"))).first()[0] or 0
     buckets = int(min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-total // BUCKET))))
     rows = slim.count()
-    splitters = sampled_splitters(own, rows, buckets)
+    splitters, hot = sampled_splitters(own, rows, buckets)
     wanted = first.join(places, "th").select("doc_id", "mark", "positions")
     texts = own.where("doc_id is not null").select("doc_id", "mark", "text").join(wanted, ["doc_id", "mark"])
-    contexts = texts.select("doc_id", "mark", "positions", "text").mapInArrow(context_rows(splitters), "bucket int, doc_id long, mark string, pos int, left int, right int, ctx binary")
+    contexts = texts.select("doc_id", "mark", "positions", "text").mapInArrow(context_rows(splitters, hot), "bucket int, doc_id long, mark string, pos int, left int, right int, ctx binary")
     runs = contexts.groupBy("bucket").applyInArrow(bucket_runs, "doc_id long, mark string, a int, b int")
     runs = materialize(runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
 
