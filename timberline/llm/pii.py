@@ -10,10 +10,12 @@ puts over one half is a span as well; base spans stay whatever it says.
 The texts are read twice and never shuffled: once to count patterns of votes and features, of which there are at most
 `3 ** len(LABELERS)` times the feature values whatever the input (the driver gets these counts), and once to write the
 result, with the classifier's weights as literals. Positions follow from the lengths of the matches and of the texts
-between them.
+between them. What stands before a match is looked at back to the match of the same kind before it.
 
 Nulls: a null text counts as empty. Rows are independent: repeated rows repeat. An empty table gives no rows, and no
-candidates train a classifier that adds nothing. Numbers of any length and very long runs are matched in linear time.
+candidates train a classifier that adds nothing. A text costs time linear in its length, and its n matches n * sqrt(n) small
+steps: an array that grows in a fold is copied at every step, so running sums are made in about sqrt(n) runs of sqrt(n). A text
+and its spans must fit a row.
 """
 
 from __future__ import annotations
@@ -51,18 +53,51 @@ AGAINST = r"(?i)(?:order|invoice|page|figure|table|section|version|chapter|price
 UNITS = r"(?i)^\W{0,2}(?:%|kg|km|mb|gb|ms|pages|items|rows|times|usd|eur|dollars|percent|years)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also where the body names it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """array<int> of the joined values up to each place, join being associative."""
+
+    def folded(part: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            return F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(join(F.element_at(acc, -1), x))))
+
+        return F.aggregate(part, F.expr("cast(array() as array<int>)"), add)
+
+    def placed(blocks: Column, tops: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda block, j: F.when(j == 0, block).otherwise(F.transform(block, lambda x: join(F.get(tops, j - 1), x)))))
+
+    def made(v: Column) -> Column:
+        return let(
+            F.ceil(F.sqrt(F.size(v))).cast("int"),
+            lambda width: let(
+                F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda j: folded(F.slice(v, j * width + 1, width))),
+                lambda blocks: let(folded(F.transform(blocks, lambda x: F.element_at(x, -1))), lambda tops: placed(blocks, tops)),
+            ),
+        )
+
+    return let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(made(v)))
+
+
+SPAN = "struct<s:int,e:int,m:string,before:string,after:string>"
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """All matches as (s, e, m): code points, end exclusive."""
-    parts = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    empty = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
+    """All matches as (s, e, m, before, after): code points, end exclusive; up to 32 and 12 characters around them."""
+
+    def found(rest: Column, matches: Column) -> Column:
+        # match i stands between text i and text i + 1
+        def placed(m: Column, i: Column, ends: Column) -> Column:
+            e = F.get(ends, i)
+            return F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m"), F.right(F.get(rest, i), F.lit(32)).alias("before"), F.left(F.get(rest, i + 1), F.lit(12)).alias("after"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["pos"] + F.length(x["0"])
-        e = s + F.length(x["1"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["1"].alias("m")))
-        return F.when(x["1"].isNull(), acc).otherwise(F.struct(e.alias("pos"), F.concat(acc["out"], one).alias("out")))
+        sums = running(F.transform(matches, lambda m, i: F.length(F.get(rest, i)) + F.length(m)), lambda a, b: a + b)
+        return let(sums, lambda ends: F.transform(matches, lambda m, i: placed(m, i, ends)))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+    return let(F.split(text, pattern, -1), lambda rest: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: found(rest, matches)))
 
 
 def digits(m: Column) -> Column:
@@ -71,13 +106,15 @@ def digits(m: Column) -> Column:
 
 def luhn(m: Column) -> Column:
     """m with 13 to 19 digits."""
-    back = F.reverse(F.regexp_replace(m, "[^0-9]", ""))
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(back, i, F.lit(1)).cast("int")
-        return total + F.when(i % 2 == 1, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0))
+    def total(back: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            d = F.substring(back, i, F.lit(1)).cast("int")
+            return acc + F.when(i % 2 == 1, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), add)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), add) % 10 == 0
+    return let(F.reverse(F.regexp_replace(m, "[^0-9]", "")), total) % 10 == 0
 
 
 CHECKS: dict[str, Callable[[Column], Column]] = {
@@ -92,25 +129,40 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
 
 
 def candidates(text: Column, kind: str) -> Column:
-    """The spans of a kind that pass its check, with their kind and what stands around them."""
+    """The spans of a kind that pass its check."""
     gate = text.contains(NEEDS[kind]) if NEEDS[kind] else F.lit(True)
     if kind in ("ip", "card", "phone", "number"):
         gate = gate & text.rlike("[0-9]")
     if kind == "name":
         gate = gate & text.rlike(r"[A-Z][a-z]*+\.?\x20[A-Z][a-z]")  # every match of the pattern holds this
     found = F.filter(spans(text, PATTERNS[kind]), lambda x: CHECKS[kind](x["m"]))
-    return F.when(gate, found).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)"))
+    return F.when(gate, found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+
+
+def with_kind(kind: str, found: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), *[x[c].alias(c) for c in ("s", "e", "m", "before", "after")]))
+
+
+def apart(found: Column, taken: Column) -> Column:
+    """(s, e) of the spans in found that overlap none in taken, in order.
+
+    Both are sorted together, and beside each stand the farthest end of taken spans so far and the nearest start of those to come.
+    """
+    both = F.concat(
+        F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(1).alias("own"), x["e"].alias("e"))),
+        F.transform(taken, lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("own"), x["e"].alias("e"))),
+    )
+
+    def clear(rows: Column, ends: Column, starts: Column) -> Column:
+        free = F.filter(rows, lambda x, i: (x["own"] == 1) & (F.get(ends, i) <= x["s"]) & (F.get(starts, i) >= x["e"]))
+        return F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
+    def walked(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda x: F.when(x["own"] == 0, x["e"]).otherwise(0)), F.greatest)
+        starts = F.reverse(running(F.reverse(F.transform(rows, lambda x: F.when(x["own"] == 0, x["s"]).otherwise((1 << 31) - 1))), F.least))
+        return let(ends, lambda e: let(starts, lambda s: clear(rows, e, s)))
 
-def around(text: Column, kind: str, found: Column) -> Column:
-    """found with kind, before and after."""
-    return F.transform(
-        found,
-        lambda x: F.struct(
-            F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"),
-            F.substring(text, F.greatest(F.lit(1), x["s"] - 31), F.least(F.lit(32), x["s"])).alias("before"), F.substring(text, x["e"] + 1, F.lit(12)).alias("after"),
-        ),
-    )
+    return F.when(F.size(taken) == 0, F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))).otherwise(let(F.array_sort(both), walked))
 
 
 def vote(yes: Column, no: Column | None = None) -> Column:
@@ -190,16 +242,14 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = F.col("t")
     every = own.select("t", *[candidates(t, k).alias(k) for k in KINDS])
-    every = every.select(F.explode(F.concat(*[around(t, k, F.col(k)) for k in KINDS])).alias("x"))
+    every = every.select(F.explode(F.concat(*[with_kind(k, F.col(k)) for k in KINDS])).alias("x"))
     votes, values = [f(F.col("x")).alias(f"v_{k}") for k, f in LABELERS.items()], [f(F.col("x")).alias(f"f_{k}") for k, (_, f) in FEATURES.items()]
     counted = every.select(*votes, *values).groupBy(*[f"v_{k}" for k in LABELERS], *[f"f_{k}" for k in FEATURES]).count().collect()
     model = train(sorted((tuple(r[: len(LABELERS)]), tuple(r[len(LABELERS) : -1]), r[-1]) for r in counted))
 
-    found = own.select("doc_id", "t", *[candidates(t, k).alias(k) for k in KINDS])
-    for k in KINDS[len(BASE) :]:
-        likely = F.filter(around(t, k, F.col(k)), lambda x: odds(x, model) > 0)
-        taken = F.concat(*[F.col(b) for b in BASE])  # what overlaps a base span is no span of its own
-        found = found.withColumn(k, F.filter(F.transform(likely, lambda x: F.struct(x["s"], x["e"], x["m"])), lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
+    found = own.select("doc_id", *[candidates(t, k).alias(k) for k in KINDS])
+    found = found.select("doc_id", *BASE, F.concat(*BASE).alias("taken"), *[F.filter(with_kind(k, F.col(k)), lambda x: odds(x, model) > 0).alias(k) for k in KINDS[len(BASE) :]])
+    found = found.select("doc_id", *BASE, *[apart(F.col(k), F.col("taken")).alias(k) for k in KINDS[len(BASE) :]])  # what overlaps a base span is no span of its own
 
     def named(kind: str) -> Column:
         return F.transform(F.col(kind), lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
