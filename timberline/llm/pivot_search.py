@@ -8,10 +8,13 @@ Index: every vector is keyed by its nearest pivot and the distance to it. Pivots
 (`SAMPLE` rows) farthest-first. Range partitions over (pivot, distance, id) cut the rows into even blocks of sorted
 annuli, also where one vector is repeated over a third of the rows.
 
-Search: queries (a stated set) meet the blocks tile by tile. A tile holds bounded numbers of both, so nothing is collected
-and memory does not grow with the table. Inside a tile each query starts at the annulus next to its own distance and goes
-outwards; it stops where the triangle inequality puts all that is left beyond its k-th best so far. A bound from the
-query's home block, found while the index is built, starts every tile with a finite radius. Scores are exact integers.
+Search: a query's home block gives it a first bound while the index is built. A table of the annuli of each part (a row a part
+and pivot) then tells, by the triangle inequality, which parts can hold anything better; a query is sent to those alone, and
+a part only to chunks of queries that need it. Chunks are made of queries that live close together. A tile, a part and a
+chunk, holds at most `TILE_BYTES` of either, so nothing is collected and memory does not grow with the table. Inside a tile
+each query starts at the annulus next to its own distance and goes outwards; it stops where the triangle inequality puts all
+that is left beyond its k-th best so far. Scores are exact integers. Where distances tell little (many dimensions, no
+clusters), bounds rule out little and the work is that of comparing all queries with all rows, tile by tile.
 
 Nulls: vectors that are null, hold a null or a non-finite component, or have another length than most take no part, and
 neither do rows without an id. Repeated rows are candidates of their own, but a query's own id is left out. Components
@@ -31,8 +34,8 @@ from pyspark.sql import Window as W
 from timberline.llm.common import bound_batches, materialize
 
 SCALE, TOP, PIVOTS, SAMPLE = 1024.0, 10, 32, 4096
-#: Rows of a block; vectors and queries of a tile.
-BLOCK, LEAST_ROWS, MOST_ROWS, QUERIES = 512, 8192, 131_072, 4096
+#: Rows of a block; vectors and queries of a tile, and bytes of either.
+BLOCK, LEAST_ROWS, MOST_ROWS, QUERIES, TILE_BYTES = 512, 8192, 131_072, 4096, 32 << 20
 SLACK = 1e-6
 
 
@@ -75,35 +78,47 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return scores[order], ids[order]
 
 
+def highest(to_pivot: np.ndarray, norms: np.ndarray, pivot: np.ndarray, near: np.ndarray, far: np.ndarray, longest: float) -> np.ndarray:
+    """The highest score (with slack) that a vector of each annulus can have with each query: queries by annuli."""
+    d = to_pivot[:, pivot]
+    gap = np.maximum(np.maximum(near[None, :] - d, d - far[None, :]), 0) * (1 - SLACK) - SLACK
+    return (norms[:, None] + longest**2 - np.maximum(gap, 0) ** 2) / 2 + 1
+
+
+def chunks_of(counts: list[tuple[int, int]], most: int) -> dict[int, tuple[int, int]]:
+    """(part, queries) in order -> part: (first chunk, chunks over which its queries are dealt). Small neighbours share a chunk."""
+    out, chunk, room = {}, 0, most
+    for part, n in counts:
+        if n > room and room < most:
+            chunk, room = chunk + 1, most
+        several = max(1, -(-n // most))
+        out[part] = chunk, several
+        chunk, room = (chunk + several, most) if several > 1 else (chunk, room - n)
+    return out
+
+
 def search_tile(queries: pd.DataFrame, blocks: pd.DataFrame, longest: float, dims: int, k: int) -> Iterator[tuple[int, int, float]]:
     """(query id, vector id, score): each query's k best of the tile's blocks, less what its bound rules out."""
     q = np.stack([np.frombuffer(b, dtype=np.float64) for b in queries["v"]])
     to_pivot = np.stack([np.frombuffer(b, dtype=np.float64) for b in queries["to_pivots"]])
     ids, floor = queries["id"].to_numpy(), queries["floor"].to_numpy()
     norms = (q**2).sum(axis=1)
-    annuli = [
-        (r.pivot, r.near, r.far, np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.vectors, dtype=np.int32).reshape(-1, dims).astype(np.float64))
-        for r in blocks.itertuples(index=False)
-    ]
-    pivot = np.array([a[0] for a in annuli])
-    near, far = np.array([a[1] for a in annuli]), np.array([a[2] for a in annuli])
-    # how far each annulus is from each query at least, by the triangle inequality
-    d = to_pivot[:, pivot]
-    gap = np.maximum(np.maximum(near[None, :] - d, d - far[None, :]), 0) * (1 - SLACK) - SLACK
-    most = (norms[:, None] + longest**2 - np.maximum(gap, 0) ** 2) / 2 + 1  # the highest score that is still possible
+    annuli = [(np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.vectors, dtype=np.int32).reshape(-1, dims)) for r in blocks.itertuples(index=False)]
+    most = highest(to_pivot, norms, blocks["pivot"].to_numpy(), blocks["near"].to_numpy(), blocks["far"].to_numpy(), longest)
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(q)
     bound = floor.copy()
-    # Annuli in the order in which they come nearest to any query; the queries that still need one are scored at once.
-    for a in np.argsort(gap.min(axis=0), kind="stable"):
+    # Annuli in the order in which any query can score highest; the queries that still need one are scored at once.
+    for a in np.argsort(-most.max(axis=0), kind="stable"):
         need = np.flatnonzero(most[:, a] >= bound)
         if not len(need):
             continue
-        scores = q[need] @ annuli[a][4].T
-        scores[annuli[a][3][None, :] == ids[need][:, None]] = -np.inf
+        own, vectors = annuli[a]
+        scores = q[need] @ vectors.astype(np.float64).T
+        scores[own[None, :] == ids[need][:, None]] = -np.inf
         for row, i in zip(scores, need, strict=True):
             over = row >= max(bound[i], -1e300)
             if over.any():
-                s, v = best_of(np.concatenate([best[i][0], row[over]]), np.concatenate([best[i][1], annuli[a][3][over]]), k)
+                s, v = best_of(np.concatenate([best[i][0], row[over]]), np.concatenate([best[i][1], own[over]]), k)
                 best[i] = s, v
                 if len(s) == k:
                     bound[i] = max(bound[i], s[-1])
@@ -137,7 +152,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = TOP, vec_id: str = "ve
             near = d.argmin(axis=1)
             yield pd.DataFrame({"id": b["id"], "pivot": near.astype(np.int32), "dist": d[np.arange(len(x)), near], "v": [r.tobytes() for r in x.astype(np.int32)]})
 
-    parts = int(np.clip(-(-n // 12), LEAST_ROWS, MOST_ROWS))
+    parts = min(int(np.clip(-(-n // 12), LEAST_ROWS, MOST_ROWS)), max(BLOCK, TILE_BYTES // (4 * dims)))
     parts = max(1, -(-n // parts))
     keyed = rows.mapInPandas(key, "id long, pivot int, dist double, v binary").repartitionByRange(parts, "pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
 
@@ -164,10 +179,32 @@ def search(vectors: DataFrame, every: int = 100, k: int = TOP, vec_id: str = "ve
 
     built = materialize(keyed.mapInPandas(block, "query boolean, pivot int, near double, far double, ids binary, vectors binary, to_pivots binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts))), "annuli")
     blocks = built.where("not query").select("part", "pivot", "near", "far", "ids", "vectors")
-    asked = built.where("query").select("ids", "near", "vectors", "to_pivots", F.monotonically_increasing_id().alias("at"))
-    chunks = max(1, -(-(n // every + 1) // QUERIES))
-    asked = asked.select(F.pmod(F.xxhash64("ids", "at"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "ids", F.col("near").alias("floor"), F.col("vectors").alias("v"), "to_pivots")
-    tiles = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    rings = blocks.groupBy("part", "pivot").agg(F.min("near").alias("near"), F.max("far").alias("far")).toPandas()  # a row a part, and a pivot
+    homes = built.where("query").groupBy("part").count().orderBy("part").collect()  # a row a part
+    places = chunks_of([(r["part"], r["count"]) for r in homes], min(QUERIES, max(1, TILE_BYTES // (8 * dims))))
+    shared = spark.sparkContext.broadcast((rings["part"].to_numpy(), rings["pivot"].to_numpy(), rings["near"].to_numpy(), rings["far"].to_numpy(), places))
+
+    # each query beside the parts that can hold something better than its bound
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, pivot, near, far, chunk = shared.value
+        for b in batches:
+            if not len(b):
+                continue
+            v = np.stack([np.frombuffer(x, dtype=np.float64) for x in b["vectors"]])
+            most = highest(np.stack([np.frombuffer(x, dtype=np.float64) for x in b["to_pivots"]]), (v**2).sum(axis=1), pivot, near, far, longest)
+            floor = b["near"].to_numpy()
+            made = []
+            for i, r in enumerate(b.itertuples(index=False)):
+                first, several = chunk[r.part]
+                made += [(int(p), first + r.spread % several, r.ids, floor[i], v[i].tobytes(), r.to_pivots) for p in np.unique(part[most[i] >= floor[i]])]
+                if len(made) >= 2048 or i + 1 == len(b):
+                    yield pd.DataFrame(made, columns=["part", "chunk", "ids", "floor", "v", "to_pivots"])
+                    made = []
+
+    spread = F.pmod(F.xxhash64("ids", F.monotonically_increasing_id()), F.lit(1 << 30)).alias("spread")
+    asked = built.where("query").select("part", "near", "ids", "vectors", "to_pivots", spread).mapInPandas(send, "part int, chunk int, ids binary, floor double, v binary, to_pivots binary")
+    asked = materialize(asked, "asked")
+    tiles = blocks.join(asked.select(F.col("part").alias("to"), F.col("chunk").alias("by")).distinct(), F.col("part") == F.col("to"))
 
     def tile(queries: pd.DataFrame, annuli: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(annuli):
@@ -176,6 +213,6 @@ def search(vectors: DataFrame, every: int = 100, k: int = TOP, vec_id: str = "ve
         found = list(search_tile(queries, annuli, longest, dims, k))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    found = asked.groupBy("part", "chunk").cogroup(tiles.groupBy("part", "chunk")).applyInPandas(tile, "query_id long, vec_id long, score long")
+    found = asked.groupBy("part", "chunk").cogroup(tiles.groupBy("to", "by")).applyInPandas(tile, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
