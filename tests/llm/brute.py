@@ -180,3 +180,177 @@ def shingles(text, n=5):
 
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def spans_by_labels(texts, pii):
+    """op7's spans text by text, as one string each: candidates, votes and features in plain Python; pii gives patterns and training."""
+    import regex
+
+    flags = regex.ASCII | regex.V0
+    patterns = {k: regex.compile(p, flags) for k, p in pii.PATTERNS.items()}
+    has = lambda rule, s: regex.search(rule, s, flags) is not None
+    checks = {k: ok for (k, _, ok) in PERSONAL} | {"card": lambda s: 13 <= _digits(s) <= 19 and _luhn(s), "number": lambda s: 7 <= _digits(s) <= 19}
+    found = []
+    for t in texts:
+        t, own = t or "", []
+        for k in pii.KINDS:
+            matches = list(patterns[k].finditer(t))
+            for i, m in enumerate(matches):
+                if not checks.get(k, lambda s: True)(m[0]):
+                    continue
+                low = matches[i - 1].end() if i else 0
+                high = matches[i + 1].start() if i + 1 < len(matches) else len(t)
+                own.append((k, m.start(), m.end(), m[0], t[max(low, m.start() - 32) : m.start()], t[m.end() : min(high, m.end() + 12)]))
+        found.append(own)
+
+    def votes(k, m, before, after):
+        word = lambda words: has(rf"(?i)\b(?:{words})\b", m)
+        return (
+            1 if k in pii.BASE or has(pii.FORMATS, m) else -1 if has(r"^[0-9]+\.[0-9]{1,2}$", m) else 0,
+            1 if k == "name" and word(pii.GIVEN) else -1 if k == "name" and word(pii.NO_NAMES) else 0,
+            1 if has(pii.CUES, before) else -1 if has(pii.AGAINST, before) else 0,
+            -1 if has(pii.UNITS, after) else 0,
+            1 if k != "name" and has(r"[0-9][\x20()./-]+[0-9]", m) else -1 if k == "number" and not has("[^0-9]", m) else 0,
+            1 if has(r"^(?:Mr|Mrs|Ms|Dr|Prof)\b", m) else 0,
+        )
+
+    def features(k, m, before):
+        form = 2 if has(pii.FORMATS, m) else 1 if has(r"[A-Za-z@+()]|[0-9][\x20./-]+[0-9]", m) else 0
+        return pii.KINDS.index(k), min(3, len(m) // 8), 2 if has(pii.CUES, before) else 1 if has(pii.AGAINST, before) else 0, form
+
+    counts = {}
+    for own in found:
+        for k, _, _, m, before, after in own:
+            key = votes(k, m, before, after), features(k, m, before)
+            counts[key] = counts.get(key, 0) + 1
+    model = pii.train(sorted((*k, n) for k, n in counts.items()))
+    out = []
+    for own in found:
+        taken = [(s, e) for k, s, e, *_ in own if k in pii.BASE]
+        likely = lambda k, m, before: model[0][0] + sum(table[x] for table, x in zip(model[1:], features(k, m, before), strict=True)) > 0
+        kept = [f"{k}:{s}:{e}" for k, s, e, m, before, _ in own if k in pii.BASE or (likely(k, m, before) and not any(a < e and s < b for a, b in taken))]
+        out.append(",".join(kept))
+    return out
+
+
+def mixture(rows, mixing, budget):
+    """(doc_id, text, lang, source) rows -> op8's (doc_id, source, lang, topic, n_tokens, share, prob, uniform number)."""
+    import struct
+
+    def topic(t):
+        return "empty" if t is None else next((name for name, rule in mixing.TOPICS if re.search(rule, t, re.ASCII)), mixing.OTHER)
+
+    cells, own = {}, []
+    for doc, text, lang, source in rows:
+        n = len(re.findall(r"\S+", text or "", re.ASCII))
+        own.append((doc, (source, lang, topic(text)), n))
+        cells[own[-1][1]] = cells.get(own[-1][1], 0) + n
+    mass = {c: m for c, m in cells.items() if m > 0}
+    total = sum(mass.values())
+    goals = []
+    for i, margin in enumerate(mixing.MARGINS):
+        sums = {}
+        for c, m in mass.items():
+            sums[c[i]] = sums.get(c[i], 0) + m
+        powered = {v: m ** mixing.POWERS[margin] for v, m in sums.items()}
+        goals.append({v: x / sum(powered.values()) for v, x in powered.items()})
+    w = {c: m / total for c, m in mass.items()}
+    for _ in range(500):
+        for i, goal in enumerate(goals):
+            sums = {}
+            for c, x in w.items():
+                sums[c[i]] = sums.get(c[i], 0) + x
+            w = {c: x * goal[c[i]] / sums[c[i]] for c, x in w.items()}
+    kept = lambda scale: sum(min(mass[c] / total, scale * w[c]) for c in w)
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        low, high = ((low + high) / 2, high) if kept((low + high) / 2) < budget else (low, (low + high) / 2)
+
+    def uniform(doc):
+        seed = 42 if doc is None else xxhash.xxh64_intdigest(struct.pack("<q", doc), 42)
+        return (xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), seed) >> 11) / (1 << 53)
+
+    return [(doc, *c, n, w.get(c, 0.0), min(1.0, high * w[c] * total / mass[c]) if c in w else 1.0, uniform(doc)) for doc, c, n in own]
+
+
+def languages(training, texts, longest=5, smooth=0.5, temper=12.0):
+    """(lang, text) rows and texts -> (lang, score) each: word-first back-off with plain counters."""
+    import math
+
+    import regex
+
+    names = sorted({lang for lang, _ in training})
+    counts = [{} for _ in range(longest + 1)]  # size -> gram -> lang -> n
+
+    def add(size, gram, lang, n):
+        table = counts[size].setdefault(gram, {})
+        table[lang] = table.get(lang, 0) + n
+
+    words = {}
+    for lang, text in training:
+        for w in regex.findall(r"\p{L}+", text.lower()):
+            words[lang, w] = words.get((lang, w), 0) + 1
+    for (lang, w), n in words.items():
+        add(0, w, lang, n)
+        marked = f"^{w}$"
+        for k in range(1, longest + 1):
+            for i in range(len(marked) - k + 1):
+                add(k, marked[i : i + k], lang, n)
+    totals = [{lang: sum(t.get(lang, 0) for t in table.values()) + smooth * (len(table) + 1) for lang in names} for table in counts]
+
+    def logs(size, gram):
+        found = [math.log((counts[size][gram].get(lang, 0) + smooth) / totals[size][lang]) for lang in names]
+        return [x - max(found) for x in found]
+
+    def score(w):
+        if w in counts[0]:
+            return logs(0, w)
+        marked, at, got = f"^{w}$", 0, []
+        while at < len(marked):
+            k = next((k for k in range(min(longest, len(marked) - at), 0, -1) if marked[at : at + k] in counts[k]), 0)
+            if k:
+                got.append(logs(k, marked[at : at + k]))
+            at += max(k, 1)
+        return [sum(x) / len(got) for x in zip(*got, strict=True)] if got else None
+
+    out = []
+    for t in texts:
+        own = [w for w in regex.findall(r"[^\W\d_]+", (t or "").lower()) if any(map(str.isalpha, w))]
+        if not own or not names:
+            out.append(("und", 0.0))
+            continue
+        got = [s for s in map(score, own) if s is not None]
+        total = [sum(x) * min(1.0, temper / max(len(got), 1)) for x in zip(*got, strict=True)] or [0.0] * len(names)
+        odds = [math.exp(x - max(total)) for x in total]
+        best = max(range(len(names)), key=lambda i: (odds[i], -i))
+        out.append((names[best], odds[best] / sum(odds)))
+    return out
+
+
+def group_sizes(texts):
+    """Sizes of the groups of equal texts, in the order of their hashes."""
+    groups = {}
+    for t in texts:
+        at = xxhash.xxh64_intdigest((t or "").encode(), 42) >> 1
+        groups[at] = groups.get(at, 0) + size(t)
+    return [groups[k] for k in sorted(groups)]
+
+
+def least_capacity(sizes, shards):
+    """By binary search over the groups themselves, filling one shard after the other."""
+
+    def fits(room):
+        n, left = 1, room
+        for x in sizes:
+            if x > room:
+                return False
+            if x > left:
+                n, left = n + 1, room
+            left -= x
+        return n <= shards
+
+    low, high = 0, sum(sizes)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if fits(middle) else (middle + 1, high)
+    return low

@@ -41,7 +41,7 @@ def test_decontamination(spark, sf, small, edges, items, none, monkeypatch):
     assert got(decontaminate.decontaminate(small[0], bench), *COLUMNS1) == want(brute.contamination(small[1], [tuple(r) for r in bench.collect()]))
     expected = want(brute.contamination(edges[1], items[1]))
     assert got(decontaminate.decontaminate(edges[0], items[0]), *COLUMNS1) == expected
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 7)  # several slices
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 2_000)  # several slices
     assert got(decontaminate.decontaminate(edges[0], items[0]), *COLUMNS1) == expected
     assert decontaminate.decontaminate(none, items[0]).count() == 0
     clean = decontaminate.decontaminate(edges[0], items[0].limit(0)).collect()
@@ -61,6 +61,41 @@ def test_contaminated_documents_or_spans_go(edges, items):
     assert sum(len(brute.words(t)) for _, t in after) == total
 
 
+def test_long_texts_are_decontaminated_in_linear_time(spark, items):
+    """A run must not carry the text: 200,000 words took minutes when it did."""
+    import time
+
+    r = random.Random(2)
+    hit = items[1][0][1]
+    rows = [(i, " ".join(f"w{r.randrange(999)}" for _ in range(200_000)) + " " + hit + " " + " ".join(["z"] * 10)) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    out = decontaminate.decontaminate(df, items[0]).collect()
+    assert time.time() - began < 40
+    assert [x["n_words"] for x in out] == [200_000 + len(hit.split()) + 10] * 2 and all(x["n_hit"] == len(brute.words(hit)) for x in out)
+    cut = decontaminate.remove_contaminated(df, items[0], spans=True).collect()
+    assert time.time() - began < 80 and all(x["text"].endswith(" z") and hit not in x["text"] for x in cut)
+
+
+def test_columns_that_clash_are_left_alone(spark, edges, items):
+    """Columns named as the operators name theirs inside keep their values."""
+    names = ["__hash", "__id", "__text", "__cell", "hash", "of", "like", "hits", "pieces", "node", "Row", "key", "kept", "source_", "prob"]
+    df = edges[0].select("doc_id", "text", "lang", "source")
+    for i, c in enumerate(names):
+        df = df.withColumn(c, F.lit(f"{i} own"))
+    bench = items[0].withColumn("w", F.lit(1)).withColumn("window", F.lit(2))
+    model = language_id.fit(df, F.lit(True))
+    kept = {
+        "keep_one": simhash.keep_one(df), "keep_one_similar": simhash.keep_one_similar(df), "remove_contaminated": decontaminate.remove_contaminated(df, bench), "spans": decontaminate.remove_contaminated(df, bench, spans=True),
+        "keep_confident": language_id.keep_confident(df, model, 0.5), "sample_mixture": mixing.sample_mixture(df), "assign_shards": sharding.assign_shards(df),
+    }
+    for name, out in kept.items():
+        assert out.columns[: len(df.columns)] == df.columns, name
+        rows = out.collect()
+        assert rows, name
+        assert all(x[c] == f"{i} own" for x in rows for i, c in enumerate(names)), name
+
+
 # 2
 
 
@@ -91,7 +126,7 @@ def test_simhash(spark, small, edges, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [1, 10])
+@pytest.mark.parametrize("crowd", [1, 10, 10_000])
 def test_crowded_segments_are_linked_the_other_way(spark, monkeypatch, crowd):
     df, rows = near_copies(spark)
     expected = expected_components(rows)
@@ -308,6 +343,34 @@ def test_pivot_search(spark, sf, monkeypatch):
     assert pivot_search.search(df, every=10).count() > 0  # with a repeated row
 
 
+def test_chunks_of_queries_are_bounded():
+    r = random.Random(6)
+    for _ in range(300):
+        counts = [(p, r.choice([1, 3, 9, 30, 250])) for p in range(r.randrange(1, 20))]
+        found, most = pivot_search.chunks_of(counts, 20), Counter()
+        for p, n in counts:
+            first, several = found[p]
+            assert several == max(1, -(-n // 20))
+            for k in range(several):
+                most[first + k] += n / several
+        assert all(n <= 20 for n in most.values()) and set(most) == set(range(len(most)))
+
+
+def test_bounds_keep_queries_from_tiles_that_cannot_win(spark, monkeypatch):
+    """Far clusters: a query is sent to the parts of its own."""
+    r = np.random.default_rng(5)
+    centers = np.eye(8) * 40
+    rows = [(i, (centers[i % 8] + r.normal(size=8) / 20).tolist()) for i in range(4000)]
+    sent = []
+    write = pivot_search.materialize
+    monkeypatch.setattr(pivot_search, "materialize", lambda df, name: sent.append((name, out := write(df, name))) or out)
+    monkeypatch.setattr(pivot_search, "LEAST_ROWS", 250)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(pivot_search.search(df), "query_id", "rank", "vec_id", "score") == brute.top(rows, 100)
+    asked = dict(sent)["asked"].count()
+    assert 40 <= asked <= 40 * 5  # of 16 parts and more
+
+
 def test_pivot_search_of_nothing(spark):
     for rows in ([], [(1, None)], [(0, [1.0])]):
         assert pivot_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).count() == 0
@@ -368,6 +431,35 @@ def test_repeats_in_periodic_texts_and_many_pieces(spark, monkeypatch):
     assert got(suffix_dedup.remove_repeats(df), *COLUMNS5) == want(brute.repeats(rows))
 
 
+def test_hot_kmers_are_split_and_lose_nothing(spark, monkeypatch):
+    """A passage in most documents, with all kinds of bytes before and behind it, and every k-mer of it taken for a hot one."""
+    r = random.Random(21)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(160))
+    rows = [(i, "".join(r.choice("xyz") for _ in range(r.randrange(0, 70))) + passage[: r.choice([60, 160, 160])] + "".join(r.choice("xyz") for _ in range(r.randrange(0, 70)))) for i in range(300)]
+    rows += [(400 + i, passage[r.randrange(40) :] + "w" * r.randrange(40)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = want(brute.repeats(rows))
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 20)
+    plain = suffix_dedup.sampled_splitters
+    for every in (False, True):
+        seen = []
+
+        def hot(docs, n, buckets, every=every, seen=seen):
+            splitters, found = plain(docs, n, buckets)
+            raw = passage.encode()
+            found = np.array(sorted({raw[i : i + suffix_dedup.K] for i in range(len(raw) - suffix_dedup.K + 1)}), dtype=found.dtype) if every else found
+            seen.append(len(found))
+            return splitters, found
+
+        monkeypatch.setattr(suffix_dedup, "sampled_splitters", hot)
+        assert got(suffix_dedup.remove_repeats(df), *COLUMNS5) == expected
+        assert seen[0] > 0
+
+
+def test_ranges_are_all_places():
+    assert [o for a, b in suffix_dedup.RANGES for o in range(a, b + 1)] == list(range(suffix_dedup.BACK + 1))
+
+
 def test_anchors_do_not_depend_on_pieces(monkeypatch):
     r = np.random.default_rng(1)
     data = r.integers(97, 101, 5000).astype(np.uint8)
@@ -456,6 +548,54 @@ def test_labelers_add_spans(spark):
     assert not any(out[100 + i] for i in range(60))
 
 
+def test_spans_of_the_classifier(spark, small, edges):
+    """The added spans too, against votes, features and overlaps in plain Python."""
+    r = random.Random(12)
+    parts = ["call my phone: (555) 123-4567", "u@mail.example", "signed Anna Berg", "invoice no 20240312", "total 1234567.10 usd", "Dr. Hans Muller", "@handle_x", "4111 1111 1111 1111", "10.0.0.1", "ssn 123-45-6789", "United States", "+1 555 123 4567 89", "x", "日本", "page 1234567"]
+    made = [(i, " ".join(r.choice(parts) for _ in range(r.randrange(12)))) for i in range(400)]
+    for df, rows in (small, edges, (spark.createDataFrame(made, "doc_id long, text string"), made)):
+        expected = want((d, s) for (d, _), s in zip(rows, brute.spans_by_labels([t for _, t in rows], pii), strict=True))
+        assert got(pii.find_personal(df), "doc_id", "spans") == expected
+
+
+def test_running_values(spark):
+    r = random.Random(3)
+    rows = [(list(x),) for x in ([], [5], [3, -1], range(1, 50), [r.randrange(100) for _ in range(1000)])]
+    out = spark.createDataFrame(rows, "v array<int>").select("v", pii.running(F.col("v"), lambda a, b: a + b).alias("s"), pii.running(F.col("v"), F.greatest).alias("m")).collect()
+    for x in out:
+        assert x["s"] == np.cumsum(x["v"]).tolist() and x["m"] == [max(x["v"][: i + 1]) for i in range(len(x["v"]))]
+
+
+def test_many_matches_cost_little_more_than_their_number(spark):
+    """20,000 of each kind in one text: minutes, when spans were appended one by one."""
+    import time
+
+    pii.find_personal(spark.createDataFrame([(0, "a@b.c")], "doc_id long, text string")).collect()
+    text = " ".join(f"write to u{i}@mail.example or 4111 1111 1111 1111 or 555-123-{i % 10_000:04d} x" for i in range(20_000))
+    began = time.time()
+    row = pii.find_personal(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.time() - began < 60
+    assert tuple(row)[1:6] == brute.personal(text) and row["spans"].startswith("email:9:")
+
+
+def test_reliabilities_are_estimated():
+    """Labelers of known reliability, all patterns in their expected numbers: the beliefs are those of Bayes' rule."""
+    from itertools import product
+    from math import exp, prod
+
+    yes = [(0.1, 0.2, 0.7), (0.05, 0.35, 0.6), (0.1, 0.5, 0.4), (0.02, 0.96, 0.02), (0.2, 0.3, 0.5), (0.0, 0.8, 0.2)]  # votes -1, 0, 1 where it is so
+    no = [(0.5, 0.3, 0.2), (0.4, 0.55, 0.05), (0.45, 0.5, 0.05), (0.4, 0.59, 0.01), (0.6, 0.3, 0.1), (0.0, 0.99, 0.01)]
+    patterns, truth = {}, {}
+    for v in product((-1, 0, 1), repeat=len(pii.LABELERS)):
+        a, b = 0.3 * prod(p[x + 1] for p, x in zip(yes, v, strict=True)), 0.7 * prod(p[x + 1] for p, x in zip(no, v, strict=True))
+        if a + b:
+            patterns[v], truth[v] = 1e6 * (a + b), a / (a + b)
+    prior, weights = pii.estimate(patterns)
+    belief = {v: 1 / (1 + exp(-(prior + sum(w[x] for w, x in zip(weights, v, strict=True))))) for v in patterns}
+    assert sum(n * abs(belief[v] - truth[v]) for v, n in patterns.items()) / 1e6 < 0.03
+    assert sum(n for v, n in patterns.items() if (belief[v] > 0.5) != (truth[v] > 0.5)) / 1e6 < 0.02
+
+
 def test_every_match_of_the_name_pattern_is_a_candidate(spark):
     texts = ["Customer Wolfgang Becker", "regards Ingrid Olsen", "the Apache License", "Dr Wu", "Prof. Ekman", "Mr. Li", "no names here", "A Bc", "Ab C", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -469,7 +609,9 @@ def test_every_match_of_the_name_pattern_is_a_candidate(spark):
 # 8
 
 
-def test_raking_meets_targets(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_raking_meets_targets(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
     r = random.Random(1)
     cells = [(s, la, t, float(r.randrange(1, 900))) for s in ("a", "b", None) for la in ("x", "y") for t in ("p", "q")]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, mass double")
@@ -499,9 +641,52 @@ def test_mixing(small, edges, none):
     assert mixing.mix(none).count() == 0 and mixing.sample_mixture(none).count() == 0
 
 
+def test_mixing_against_plain_raking(small, edges):
+    for df, _ in (small, edges):
+        rows = [tuple(x) for x in df.select("doc_id", "text", "lang", "source").collect()]
+        key = lambda r: tuple((x is not None, x) for x in r[:5])
+        ours = sorted((tuple(x) for x in mixing.mix(df).collect()), key=key)
+        theirs = sorted(brute.mixture(rows, mixing, mixing.BUDGET), key=key)
+        assert len(ours) == len(theirs)
+        for a, b in zip(ours, theirs, strict=True):
+            assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-4 and abs(a[6] - b[6]) < 1e-3
+            assert a[7] == (b[7] < a[6])
+        own = sorted((tuple(x) for x in mixing.mix(df.withColumn("about", F.lit("one")), topics="about").collect()), key=key)
+        assert {x[3] for x in own} == {"one"} and len(own) == len(ours)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_targets_that_contradict_each_other_are_told(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
+    monkeypatch.setattr(mixing, "SWEEPS", 5)
+    df = spark.createDataFrame([("a", "x", "p", 1.0), ("b", "y", "p", 1.0)], "source string, lang string, topic string, mass double")
+    with pytest.warns(UserWarning, match="off its targets"):
+        w = {r["source"]: r["w"] for r in mixing.rake(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}}).collect()}
+    assert abs(sum(w.values()) - 1) < 1e-9
+
+
 # 9
 
 
+def test_language_against_plain_counters(small, edges):
+    for df, rows in (small, edges):
+        full = [tuple(x) for x in df.select("doc_id", "text", "lang").collect()]
+        training = [(lang, t) for d, t, lang in full if lang is not None and t is not None and brute.crc("" if d is None else str(d)) % 3 != 1]
+        expected = brute.languages(training, [t for _, t, _ in full])
+        ours = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 2)) for r in language_id.identify_languages(df).collect())
+        theirs = Counter((d, lang, round(s, 2)) for (d, _, _), (lang, s) in zip(full, expected, strict=True))
+        assert sum((ours - theirs).values()) <= 0.02 * len(full)  # scores on the edge of rounding
+        assert Counter(k[:2] for k in ours.elements()) == Counter(k[:2] for k in theirs.elements())
+
+
+def test_long_runs_of_letters_are_scored_whole():
+    m = language_id.Model([("a", 1, "x", 5), ("b", 2, "zz", 5), ("b", 1, "z", 5)])
+    s = language_id.Scorer(m)
+    alone = s.predict("zz" * 20)
+    assert alone[0] == "b" and all(abs(s.predict("é" * n + "zz" * 20)[1] - alone[1]) < 1e-6 for n in (1, 63, 64, 65, 300))
+    assert s.predict("é" * 100_000 + "x")[0] == "a" and not any(len(k) > 64 for k in s)
+
+
 def test_language_of_held_out_documents(small):
     truth = {r["doc_id"]: r["lang"] for r in small[0].collect()}
     out = language_id.identify_languages(small[0]).collect()
@@ -562,6 +747,24 @@ def test_sharding(small, edges, none):
     assert sharding.shard_documents(none).count() == 0 and sharding.assign_shards(none).count() == 0
 
 
+@pytest.mark.parametrize("depth", [2, 5, 16])
+def test_the_largest_shard_is_the_least_over_the_groups(spark, small, edges, monkeypatch, depth):
+    r = random.Random(depth)
+    many = [(i, f"{r.randrange(2000)} " + "x" * r.randrange(400)) for i in range(3000)] + [(9000 + i, "hot") for i in range(700)]
+    monkeypatch.setattr(sharding, "DEPTH", depth)  # coarse first ranges must be looked into
+    monkeypatch.setattr(sharding, "FINE", 64)
+    for df, rows in (small, edges, (spark.createDataFrame(many, "doc_id long, text string"), many)):
+        for shards in (1, 7, 40):
+            by, n = Counter(), Counter()
+            for x in sharding.shard_documents(df, shards).collect():
+                by[x["shard"]] += x["size"]
+                n[x["shard"]] += 1
+            sizes = brute.group_sizes([t for _, t in rows])
+            assert max(by.values()) == brute.least_capacity(sizes, shards)
+            if max(sizes) * shards < sum(sizes) / 4:  # no group is large beside a shard
+                assert len(by) == shards and min(by.values()) > 0.75 * sum(sizes) / shards
+
+
 def test_hot_texts_are_numbered_in_parts(spark):
     rows = [(i, "hot" if i % 2 else f"t{i}") for i in range(6000)]
     out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()

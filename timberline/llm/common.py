@@ -125,7 +125,7 @@ def lookup_hot(rows: DataFrame, table: DataFrame, key: str, counts: str, total:
     table has one row a key and its number of rows in the column `counts`. Keys that hold over 1/1000 of all rows
     (so at most 1,000 keys) are looked up by broadcast; the rest by a shuffle in which no key is hot.
     """
-    floor = max(10_000, total // 1000)
+    floor = max(1_000, total // 1000)
     hot = table.where(F.col(counts) > floor).drop(counts)
     if hot.isEmpty():
         return rows.join(table.drop(counts), key, "left")
