@@ -252,7 +252,7 @@ def test_stream(spark, tmp_path):
 def test_presets():
     from timberline.config import PRESETS, preset
 
-    assert preset("Hadoop").head_slots == 3 and len(PRESETS) == 16 + 18 + 19
+    assert preset("Hadoop").head_slots == 3 and len(PRESETS) == 16 + 18
     assert preset("LogC").head_slots == 3 and preset("LogC").boundary and preset("LogQ").boundary is None
     with pytest.raises(ValueError):
         LogConfig(level="X")

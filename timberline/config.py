@@ -65,17 +65,12 @@ PRESETS: dict[str, tuple[int, str | None]] = {
     "Thunderbird": (8, None),
     "Windows": (4, None),
     "Zookeeper": (4, None),
-    # production families, by the columns before the content
+    # families without public names, by the columns before the content
     **dict.fromkeys(("LogA", "LogB", "LogG", "LogH", "LogJ", "LogM", "LogN", "LogP", "LogR"), (4, DATED)),
     **dict.fromkeys(("LogC", "LogD", "LogE", "LogF", "LogO"), (3, DATED)),
     **dict.fromkeys(("LogI", "LogK"), (2, DATED)),
     "LogL": (1, None),
     "LogQ": (4, None),
-    **dict.fromkeys(("Apsara", "Fastcgi", "Oss", "Pangu", "Presto", "Rpc", "Shennong", "Sla", "Tubo"), (4, DATED)),
-    **dict.fromkeys(("Metering", "Monitor", "Ols", "Op", "Sinput"), (3, DATED)),
-    **dict.fromkeys(("PAudit", "PSummary"), (2, DATED)),
-    **dict.fromkeys(("Request", "Server"), (1, None)),
-    "Sys": (4, None),
 }
 
 
