@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.llm import decontaminate, language_id, mixing, pii, pivot_search, queries, secret_scan, sharding, simhash, similar, suffix_dedup, token_counts
+from timberline.llm.common import materialize
 
 key = lambda r: tuple((x is not None, x) for x in r)
 
@@ -780,3 +781,59 @@ def test_queries_with_sql(spark, sf, con):
     for name, sql in queries.ORACLE_SQL.items():
         assert helpers.differ(queries.QUERIES[name](spark, sf), con, sql) == "", name
     assert len(queries.QUERIES) == 10
+
+
+def test_fingerprints_link_before_the_exact_filter(spark, monkeypatch):
+    """Without the filter's pairs, what is left is linked by fingerprints and verified; texts that only share a fingerprint stay."""
+    r = random.Random(13)
+    texts = []
+    for _ in range(30):
+        words = [f"w{r.randrange(10**6)}" for _ in range(900)]
+        texts += [" ".join(words), " ".join(altered(r, words, 2))]
+    prints = [brute.fingerprint(t) for t in texts]
+    near = {2 * i for i in range(30) if (prints[2 * i] ^ prints[2 * i + 1]).bit_count() <= 2}
+    assert len(near) > 5
+    unlinked = lambda met, *_: met.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).limit(0)
+    with monkeypatch.context() as m:
+        m.setattr(similar, "hub_pairs", unlinked)
+        m.setattr(similar, "other_pairs", unlinked)
+        assert similar_left(spark, texts) == set(range(60)) - {i + 1 for i in near}
+    monkeypatch.setattr(simhash, "fingerprint", lambda text: 0)
+    assert similar_left(spark, texts) == set(range(0, 60, 2))
+
+
+def test_texts_that_share_a_passage_make_no_pairs(spark, monkeypatch):
+    """Rows of the join on first shingles do not grow with the square of a group that shares a passage and is not alike."""
+    r = random.Random(14)
+    passage = " ".join(f"p{i}" for i in range(90))
+    texts = [passage + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(150)]  # 0.4 to each other
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(similar, "frequent_shingles", lambda *_: None)  # the passage is not known to be frequent
+    rows = materialize(similar.describe(df, {"doc_id": "doc_id"}, "text", lambda text: 0), "test")
+    nodes = rows.select("node", "size", "keys", "odd", F.col("node").alias("root"))
+    met = materialize(similar.meetings(nodes), "test")
+    assert met.select(F.max("n")).first()[0] > 100  # nearly all meet on some shingle
+    assert similar.meeting_pairs(met, nodes.select("node", "root").limit(0), nodes).count() == 0
+    assert similar_left(spark, texts) == set(range(150))
+
+
+def test_parities_bound_what_differs(spark):
+    r = random.Random(15)
+    texts = []
+    for _ in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([30, 200, 1500]))]
+        texts += [" ".join(words), " ".join(altered(r, words, r.randrange(len(words) // 50 + 1)))]
+    data = [t.encode() for t in texts]
+    words, firsts = similar.word_hashes(np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]))
+    doc, h = similar.shingle_hashes(words, firsts)
+    odd, sets = similar.parities(doc, h, len(texts)).to_pylist(), [set(h[doc == i].tolist()) for i in range(len(texts))]
+    rows, alike = [], []
+    for i in range(0, len(texts), 2):
+        for j in (i + 1, (i + 2) % len(texts)):
+            apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(odd[i], odd[j], strict=True))
+            assert apart <= len(sets[i] ^ sets[j])
+            rows.append((i, j, (len(sets[i]), odd[i]), (len(sets[j]), odd[j])))
+            alike += [(i, j)] if similar.likeness(*[np.array(sorted(sets[k])).tobytes() for k in (i, j)]) >= 0.8 else []
+    df = spark.createDataFrame(rows, "i int, j int, x struct<size: int, odd: array<long>>, y struct<size: int, odd: array<long>>")
+    fit = {(x["i"], x["j"]) for x in df.where(similar.not_too_odd("x", "y")).collect()}
+    assert len(alike) > 20 and set(alike) <= fit and len(fit) < len(rows)

@@ -38,9 +38,10 @@ SHINGLE, SEED, RADIUS, PIVOTS, CROWD = 3, 42, 2, 8, 48
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | bytes | None) -> int:
     """Signed 64 bits. bytes.lower() and bytes.split() touch ASCII only, as wanted."""
-    words = text.encode().lower().split() if text else []
+    data = text.encode() if isinstance(text, str) else text
+    words = data.lower().split() if data else []
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -151,11 +152,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near copies (five-word shingles, similarity 0.8 or more) and the same columns.
 
-    Fingerprints miss pairs at that similarity, so the groups are found by the exact filter of `similar`. Texts of the same
-    words are one node. Texts without words are one group.
+    Fingerprints and `links` propose pairs, and whole sets of shingles decide about them. Fingerprints miss pairs at that
+    similarity, so the exact filter of `similar` then finds those between the groups that are left. Texts of the same words are
+    one node. Texts without words are one group.
     """
     hashed = unused(docs, "hash")
     keyed = docs.select("*", F.xxhash64(F.col(text)).alias(hashed))
-    rows = materialize(describe(keyed, {"doc_id": doc_id, "hash": hashed}, text), "described")
-    found = materialize(similar_groups(rows.drop("hash"), docs, text), "components")
+    rows = materialize(describe(keyed, {"doc_id": doc_id, "hash": hashed}, text, fingerprint), "described")
+    found = materialize(similar_groups(rows.drop("hash"), docs, text, links), "components")
     return keep_heads(keyed, rows.select("doc_id", "hash", "node"), found, doc_id, hashed)

@@ -1,18 +1,25 @@
 """Groups of texts that are alike: sets of five-word shingles with a Jaccard similarity of 0.8 or more. Exact.
 
-Fingerprints cannot tell this: at similarity 0.8 two of them differ in some 10 of 64 bits, and what is reached by looking at
-so many bits falls as a corpus grows. So pairs are found by prefix filter: in any fixed order of all shingles, two sets of
-similarity 4/5 share one of the first `size // 5 + 1` shingles of each. Texts meet on those; sizes, places in the order
-and the number of shingles that they meet on discard; whole sets verify. Nothing depends on the size of the corpus and no
-pair is left out.
+SimHash goes first: texts whose fingerprints are equal or linked (`simhash.links`) are verified on whole sets, and what these
+pairs connect is a component, inside which no pair can matter any more.
+
+Fingerprints cannot tell all: at similarity 0.8 two of them differ in some 10 of 64 bits, and what is reached by looking at
+so many bits falls as a corpus grows. So the pairs between different components are found by prefix filter: in any fixed order
+of all shingles, two sets of similarity 4/5 share one of the first `size // 5 + 1` shingles of each. Texts meet on those;
+sizes, places in the order, the number of shingles that they meet on and the parities of their sets discard; whole sets
+verify. Nothing depends on the size of the corpus and no pair is left out.
+
+Parities: a set's shingles are dealt to PARITIES buckets and a bit says whether a bucket got an odd number. Two sets differ in
+no fewer shingles than bits, so the bits of a pair bound its similarity from above, whatever the hashes are.
 
 The order puts shingles that are frequent in a sample last, so that passages that many texts quote are rarely met on; which
 ones these are changes the work, not the result.
 
 A group of near copies would make all its pairs. First each text meets only the hub of a shingle: the text that shares most
-with others, which an original does. What that links is one component, inside which no pair can matter any more. Then
-every pair of texts that share a shingle and lie in different components is taken, in blocks. Work is linear where a hub
-links a group, and quadratic in texts that share much of their first shingles and stay unlinked.
+with others, which an original does. What that links is one component. Then texts that share a shingle and lie in different
+components are compared, in blocks, by sizes, places and parities, and make a row only if these let them be alike. Rows are
+linear where a hub links a group. What is still quadratic are comparisons inside the join, of texts that share a shingle
+with texts of other components; and rows, of texts of similarity near 0.8 that stay unlinked.
 
 Batches are hashed in whole numpy passes, in time linear in their bytes. Shingles and sequences of words are known by 64-bit hashes.
 """
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from timberline.llm.common import bound_batches, buffers, connected_components, materialize
+from timberline.llm.common import bound_batches, buffers, connected_components, lookup_hot, materialize
 
 WORDS, SIMILARITY, BLOCK = 5, 0.8, 64
 #: The sample that orders the shingles: one text in up to SAMPLE; a shingle found in OFTEN of its texts is frequent; at most MOST.
@@ -37,6 +44,8 @@ SAMPLE, OFTEN, MOST = 20, 4, 1 << 17
 RUN, TABLE = 1 << 14, 256
 #: Of a shingle's hash; a batch has at most 512 documents.
 HASH_BITS = 55
+#: Buckets of the parities, a multiple of 64: they tell sets of up to some 900 shingles apart.
+PARITIES = 512
 #: Bits of the filter of texts whose sets are wanted, at most: 16 MB. It only spares work, so it may fill up.
 FILTER_BITS = 1 << 27
 
@@ -145,8 +154,14 @@ def leading(doc: np.ndarray, h: np.ndarray, n: int, frequent: tuple[np.ndarray,
 
 
 
-def map_words(docs: DataFrame, keep: dict[str, str], text: str, fields: str, make: Callable[[], Callable[[np.ndarray, np.ndarray, int], list]]) -> DataFrame:
-    """keep (new name -> column) beside `fields`, columns made of a batch's (word hashes, firsts, rows); make() runs once a task.
+def parities(doc: np.ndarray, h: np.ndarray, n: int) -> pa.ListArray:
+    """PARITIES bits of each document, as longs: whether an odd number of its shingles falls into a bucket."""
+    odd = np.bincount(doc * PARITIES + h % PARITIES, minlength=n * PARITIES) & 1
+    return lists(np.repeat(np.arange(n), PARITIES // 64), np.packbits(odd.astype(np.uint8)).view(np.int64), n)
+
+
+def map_words(docs: DataFrame, keep: dict[str, str], text: str, fields: str, make: Callable[[], Callable[[np.ndarray, np.ndarray, pa.Array], list]]) -> DataFrame:
+    """keep (new name -> column) beside `fields`, columns made of a batch's (word hashes, firsts, texts as bytes); make() runs once a task.
 
     Behind the columns may come a mask of the rows that stay.
     """
@@ -161,7 +176,7 @@ def map_words(docs: DataFrame, keep: dict[str, str], text: str, fields: str, mak
             if not batch.num_rows:
                 continue
             words, firsts = word_hashes(*buffers(batch.column(batch.num_columns - 1)))
-            made = work(words, firsts, batch.num_rows)
+            made = work(words, firsts, batch.column(batch.num_columns - 1))
             out = pa.RecordBatch.from_arrays([*batch.columns[:-1], *made[: len(added)]], names=names)
             yield out.filter(made[len(added)]) if len(made) > len(added) else out
 
@@ -172,7 +187,7 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
     """(sorted hashes, counts) of what many texts of a sample hold. At most MOST come to the driver."""
 
     def make():
-        return lambda words, firsts, n: [lists(*shingle_hashes(words, firsts), n)]
+        return lambda words, firsts, texts: [lists(*shingle_hashes(words, firsts), len(texts))]
 
     one_in = max(1, min(SAMPLE, docs.count() // 5_000))
     some = docs.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(text)), F.lit(one_in)) == 0)
@@ -183,18 +198,20 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
     return key[turn].astype(np.int64), n[turn].astype(np.int64)
 
 
-def describe(docs: DataFrame, keep: dict[str, str], text: str) -> DataFrame:
-    """keep beside node (hash of the words), size (distinct shingles) and keys (the first of them in order)."""
+def describe(docs: DataFrame, keep: dict[str, str], text: str, printed: Callable[[bytes], int]) -> DataFrame:
+    """keep beside node (hash of the words), fp (printed), size (distinct shingles), keys (the first of them in order) and odd (parities)."""
     frequent = frequent_shingles(docs, text)
 
     def make():
-        def work(words, firsts, n):
-            sizes, keys = leading(*shingle_hashes(words, firsts), n, frequent)
-            return [pa.array(node_hashes(words, firsts)), pa.array(sizes.astype(np.int32)), keys]
+        def work(words, firsts, texts):
+            n, (doc, h) = len(texts), shingle_hashes(words, firsts)
+            sizes, keys = leading(doc, h, n, frequent)
+            fp = pa.array([printed(t) for t in texts.to_pylist()], pa.int64())
+            return [pa.array(node_hashes(words, firsts)), fp, pa.array(sizes.astype(np.int32)), keys, parities(doc, h, n)]
 
         return work
 
-    return map_words(docs, keep, text, "node long, size int, keys array<long>", make)
+    return map_words(docs, keep, text, "node long, fp long, size int, keys array<long>, odd array<long>", make)
 
 
 def aligned(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -211,13 +228,30 @@ def enough(shared: Column, n: Column, i: Column, m: Column, j: Column) -> Column
     return (9 * (1 + F.least(n - 1 - i, m - 1 - j)) >= 4 * (n + m)) & (9 * (shared + F.greatest(rest(n), rest(m))) >= 4 * (n + m))
 
 
+def not_too_odd(a: str, b: str) -> Column:
+    """Whether the parities of structs or tables a and b (size, odd) let them be alike: only a ninth of both sizes may differ."""
+    apart = [F.bit_count(F.col(f"{a}.odd")[i].bitwiseXOR(F.col(f"{b}.odd")[i])) for i in range(PARITIES // 64)]
+    return 9 * sum(apart[1:], apart[0]) <= F.col(f"{a}.size") + F.col(f"{b}.size")
+
+
+def printed_pairs(nodes: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """nodes (node, fp, size, odd) -> (a, b), a > b: each node with the least of its fingerprint, and the least ones of linked fingerprints."""
+    least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "prints")
+    same = lookup_hot(nodes.select("node", "fp"), least, "fp", "n", nodes.count()).select("node", "least")
+    at = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
+    linked = links(least.select("fp")).join(at("a"), "a").join(at("b"), "b").select("a_node", "b_node")
+    both = same.where("node <> least").unionAll(linked).toDF("a", "b")
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def meetings(nodes: DataFrame) -> DataFrame:
-    """nodes (node, size, keys) -> (key, node, size, pos, n, hub) for each key that n > 1 nodes share."""
+    """nodes (node, size, keys, root) -> (key, node, size, pos, root, n, hub) for each key that n nodes of several roots share."""
     own = W.partitionBy("key")
-    keys = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
-    shared = materialize(keys.withColumn("n", F.count("*").over(own)).where("n > 1"), "shared")
+    keys = nodes.select("node", "size", "root", F.posexplode("keys").alias("pos", "key"))
+    several = F.min("root").over(own) < F.max("root").over(own)
+    shared = materialize(keys.withColumn("n", F.count("*").over(own)).withColumn("several", several).where("several").drop("several"), "shared")
     score = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    return shared.join(score, "node").withColumn("hub", F.max(F.struct("score", "node", "size", "pos")).over(own)).drop("score")
+    return shared.join(score, "node").withColumn("hub", F.max(F.struct("score", "node", "size", "pos", "root")).over(own)).drop("score")
 
 
 def counted_pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -230,25 +264,30 @@ def counted_pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def hub_pairs(met: DataFrame) -> DataFrame:
-    """(a, b), a > b: each node with the hubs of its keys, where what they share as node and hub is enough."""
-    near = met.where((F.col("node") != F.col("hub.node")) & aligned(F.col("size"), F.col("pos"), F.col("hub.size"), F.col("hub.pos")))
+    """(a, b), a > b: each node with the hubs of its keys, where they are of different roots and what they share as node and hub is enough."""
+    near = met.where((F.col("root") != F.col("hub.root")) & aligned(F.col("size"), F.col("pos"), F.col("hub.size"), F.col("hub.pos")))
     return counted_pairs(near.select(F.struct("node", "size", "pos").alias("x"), F.col("hub").alias("y")), "x", "y")
 
 
-def other_pairs(met: DataFrame, linked: DataFrame, done: DataFrame) -> DataFrame:
-    """(a, b), a > b: all pairs that share enough, lie in different components of linked and are not in done."""
+def meeting_pairs(met: DataFrame, linked: DataFrame, odds: DataFrame) -> DataFrame:
+    """Structs x and y for each shingle on which a pair meets that lies in different components of linked and may be alike."""
     own = W.partitionBy("key")
-    placed = met.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = met.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = placed.withColumn("home", F.max(F.when(F.col("node") == F.col("hub.node"), F.col("root"))).over(own)).drop("hub")
     stray = F.col("root") != F.col("home")
-    mixed = materialize(placed.withColumn("strays", F.sum(stray.cast("long")).over(own)).where("strays > 0"), "mixed")
+    mixed = placed.withColumn("strays", F.sum(stray.cast("long")).over(own)).where("strays > 0")
+    mixed = materialize(mixed.join(odds.select("node", "odd"), "node"), "mixed")
     blocks = F.ceil(F.col("n") / BLOCK)
     left = mixed.where(stray).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).alias("x")
     right = mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).alias("y")
     once = (F.col("y.root") == F.col("y.home")) | (F.col("x.node") < F.col("y.node"))
     apart = (F.col("x.root") != F.col("y.root")) & aligned(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"))
-    met_on = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & once & apart)
-    return counted_pairs(met_on, "x", "y").join(done, ["a", "b"], "left_anti")
+    return left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & once & apart & not_too_odd("x", "y"))
+
+
+def other_pairs(met: DataFrame, linked: DataFrame, done: DataFrame, odds: DataFrame) -> DataFrame:
+    """(a, b), a > b: all pairs that may be alike, lie in different components of linked and are not in done."""
+    return counted_pairs(meeting_pairs(met, linked, odds), "x", "y").join(done, ["a", "b"], "left_anti")
 
 
 def wanted_filter(nodes: DataFrame) -> np.ndarray:
@@ -269,7 +308,8 @@ def shingle_sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
         table = shared.value
         low = np.int64(len(table) * 32 - 1)
 
-        def work(words, firsts, n):
+        def work(words, firsts, texts):
+            n = len(texts)
             node = node_hashes(words, firsts)
             at = node & low
             stays = (table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
@@ -293,8 +333,8 @@ def likeness(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles are alike."""
+def verified(pairs: DataFrame, docs: DataFrame, text: str, odds: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles are alike. Parities (odds: node, size, odd) spare fetching some sets."""
 
     def run(batches):
         for batch in batches:
@@ -302,6 +342,8 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             alike = [likeness(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
+    known = lambda c: odds.select(F.col("node").alias(c), F.struct("size", "odd").alias(f"of_{c}"))
+    pairs = materialize(pairs.join(known("a"), "a").join(known("b"), "b").where(not_too_odd("of_a", "of_b")).select("a", "b"), "possible")
     nodes = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "wanted")
     sets = materialize(shingle_sets(docs, text, nodes), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("held").alias("s"))
@@ -309,16 +351,23 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """rows (doc_id, node, size, keys) of docs -> (node, root, component_id, n): each node's group, its smallest id, the node's rows."""
-    met = materialize(meetings(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))), "met")
+def similar_groups(rows: DataFrame, docs: DataFrame, text: str, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows (doc_id, node, fp, size, keys, odd) of docs -> (node, root, component_id, n): each node's group, its smallest id, the node's rows.
+
+    links: of distinct fingerprints (fp), pairs (a, b) that connect those near each other.
+    """
+    firsts = [F.first(c).alias(c) for c in ("fp", "size", "keys", "odd")]
+    nodes = materialize(rows.groupBy("node").agg(*firsts, F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    check = lambda pairs: materialize(verified(pairs, docs, text, nodes), "alike")
+    linked = connected_components(check(printed_pairs(nodes, links)))
+    placed = nodes.select("node", "size", "keys").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = materialize(meetings(placed), "met")
     pairs = materialize(hub_pairs(met), "pairs")
-    linked = connected_components(materialize(verified(pairs, docs, text), "alike"))
-    more = materialize(other_pairs(met, linked, pairs), "pairs")
+    linked = joined_components(linked, check(pairs))
+    more = materialize(other_pairs(met, linked, pairs, nodes), "pairs")
     if not more.isEmpty():
-        linked = joined_components(linked, materialize(verified(more, docs, text), "alike"))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    rooted = materialize(nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        linked = joined_components(linked, check(more))
+    rooted = materialize(nodes.select("node", "least", "n").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(least, "root").select("node", "root", "component_id", "n")
 
