@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from timberline.config import LogConfig
 from timberline.operators import codec, deltas, framing, header, matching, mining, rules
@@ -333,3 +335,31 @@ def test_batch_goes_on_after_an_error(spark, tmp_path):
     assert log.count() == 8
     total = {r["type"]: r for r in batch.summary(log).collect()}
     assert total["Missing"]["errors"] == 1 and total[None]["errors"] == 1 and total["Spark"]["ratio"] > 1 and total[None]["seconds"] >= total["Hpc"]["seconds"] > 0
+
+
+def test_entropies_in_buckets_are_those_of_plain_counts(spark):
+    r = random.Random(21)
+    wide = [r.randrange(-(10**12), 10**12) for _ in range(40)]
+    rows = [(r.randrange(5), r.choice([None, r.randrange(-300, 300)]), 61 * r.randrange(50), r.choice(wide) if i % 3 else r.randrange(10**15)) for i in range(5_000)]
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long").repartition(3)
+    names = ["a", "b", "c", "d"]
+    bounds = [(min(x for x in v if x is not None), max(x for x in v if x is not None)) for v in zip(*rows, strict=True)]
+    candidates = [(0,), (1,), (2,), (3,), (1, 0), (2, 1), (0, 2), (3, 1), (2, 3), (0, 1, 2)]
+    found = rules.entropies_in_buckets(df, names, bounds, candidates)
+    assert "Generate" not in found._jdf.queryExecution().toString()  # a row is not multiplied by its candidates
+    exprs = {str(k): F.expr(" - ".join(names[x] for x in c)) for k, c in enumerate(candidates)}
+    expected = {int(r["candidate"]): (r["n"], r["entropy"]) for r in rules.entropies(df, exprs).collect()}
+    got = {r["candidate"]: (r["n"], r["entropy"]) for r in found.collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[k][0] == n and abs(got[k][1] - e) < 1e-3 for k, (n, e) in expected.items())
+    beyond = rules.entropies_in_buckets(df, names, [(-(1 << 63), (1 << 63) - 1)] * 4, candidates)
+    assert all(abs(r["entropy"] - expected[r["candidate"]][1]) < 1e-3 for r in beyond.collect())
+    assert rules.entropies_in_buckets(df.limit(0), names, bounds, candidates).count() == 0
+
+
+def test_greedy_rules_multiply_no_rows(spark, sf, monkeypatch):
+    from timberline.plans import catalog
+
+    monkeypatch.setattr(rules, "entropies", None)
+    monkeypatch.setattr(rules, "entropies_of", None)
+    assert {r["new"] for r in catalog.QUERIES["rules_spanning"](spark, sf).collect()} == set(catalog.VALUES)

@@ -2,21 +2,27 @@
 
 A form is a column as it is, or its backward or forward delta, plain or per identifier. A candidate is one form, a
 difference of two or of three. Entropies are one aggregation over (candidate, value) counts; the driver gets a number a
-candidate. Each chosen candidate adds one column that the ones before do not give, so that decoding solves in order.
+candidate. For many candidates over many rows, Arrow batches are counted in sorted pieces first (`entropies_in_buckets`). Each chosen candidate adds one column that the ones before do not give, so that decoding solves in order.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
+from operator import sub
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RAW, DO, UP = "raw", "do", "up"
+#: Rows counted at once; buckets of a candidate's values (a prime, as values may be multiples of powers of 2 or 10); values of a bucket counted in a table.
+PIECE, BUCKETS, DENSE = 1 << 20, 61, 1 << 22
 
 
 @dataclass(frozen=True, order=True)
@@ -85,6 +91,102 @@ def entropies_of(rows: DataFrame, values: Column, candidates: list[tuple[int, ..
     return summed.select("candidate", "n", F.round(F.col("n") * F.ln("n") - F.col("s"), 4).alias("entropy"))
 
 
+def bounds_of(form: Form, low: int, high: int) -> tuple[int, int]:
+    """The least and greatest value that a form can have if its column lies between low and high."""
+    return (low, high) if form.kind == RAW else (min(low, low - high), max(high, high - low))
+
+
+def entropies_in_buckets(rows: DataFrame, columns: list[str], bounds: list[tuple[int, int]], candidates: list[tuple[int, ...]]) -> DataFrame:
+    """(candidate, n, entropy) as `entropies` gives it, for integer columns whose values lie within bounds; a candidate is given by places in columns.
+
+    A row is not multiplied by its candidates. Of each piece of rows, a candidate's values are sorted, dealt to buckets by their
+    remainder and sent as quotients in as few bytes as bounds ask for, or as distinct ones with counts where that is less. A
+    bucket of a candidate is counted in one task. Null is a value of its own.
+    """
+    spans = [(bounds[c[0]][0] - sum(bounds[x][1] for x in c[1:]), bounds[c[0]][1] - sum(bounds[x][0] for x in c[1:])) for c in candidates]
+    if any(low < -(1 << 62) or high >= 1 << 62 or high - low >= 1 << 61 for low, high in [*spans, *bounds]):
+        each = {str(k): reduce(sub, [F.col(columns[x]).cast("bigint") for x in c]) for k, c in enumerate(candidates)}
+        return entropies(rows, each).select(F.col("candidate").cast("int"), "n", "entropy")
+    quotients = [(high - low) // BUCKETS + 1 for low, high in spans]
+    kinds = [np.min_scalar_type(q) for q in quotients]
+    sent = pa.schema([("candidate", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("held", pa.binary()), ("times", pa.binary())])
+
+    def pieces(values: list[np.ndarray], known: list[np.ndarray | None]) -> Iterator[pa.RecordBatch]:
+        for k, c in enumerate(candidates):
+            v, valid = values[c[0]] - spans[k][0], None
+            for x in c[1:]:
+                v = v - values[x]
+            for x in c:
+                if known[x] is not None:
+                    valid = known[x] if valid is None else valid & known[x]
+            made = []
+            if valid is not None:
+                made += [(k, -1, int((~valid).sum()), b"", None)] if not valid.all() else []
+                v = v[valid]
+            q = v // BUCKETS
+            v = (v - q * BUCKETS) * quotients[k] + q
+            v = np.sort(v.astype(np.int32) if quotients[k] * BUCKETS < 1 << 31 else v)
+            starts = np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
+            times = None
+            if 3 * len(starts) < len(v):
+                times = np.diff(starts, append=len(v)).astype(np.uint32)
+                v = v[starts]
+            cuts = np.searchsorted(v, np.arange(BUCKETS + 1) * quotients[k])
+            for b in range(BUCKETS):
+                i, j = cuts[b], cuts[b + 1]
+                if i < j:
+                    made.append((k, b, int(j - i if times is None else times[i:j].sum()), (v[i:j] - b * quotients[k]).astype(kinds[k]).tobytes(), None if times is None else times[i:j].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), sent, strict=True)], schema=sent) if made else pa.RecordBatch.from_pylist([], sent)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            known = [c.is_valid().to_numpy() if c.null_count else None for c in table.columns]
+            yield from pieces([pc.fill_null(c, bounds[i][0]).to_numpy() for i, c in enumerate(table.columns)], known)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PIECE:
+                yield from whole()
+        if held:
+            yield from whole()
+
+    def merge(group: pa.Table) -> pa.Table:
+        k, b = group.column("candidate")[0].as_py(), group.column("bucket")[0].as_py()
+        total = sum(group.column("n").to_pylist())
+        counts = np.array([total])
+        if b >= 0:
+            held = [np.frombuffer(x, dtype=kinds[k]) for x in group.column("held").to_pylist()]
+            times = [None if x is None else np.frombuffer(x, dtype=np.uint32) for x in group.column("times").to_pylist()]
+            counts = _counts(held, times, quotients[k])
+        return pa.table({"candidate": [k], "n": [total], "s": [float((counts * np.log(counts)).sum())]}, pa.schema([("candidate", pa.int32()), ("n", pa.int64()), ("s", pa.float64())]))
+
+    parts = rows.select(*[F.col(c).cast("bigint") for c in columns]).mapInArrow(count, "candidate int, bucket int, n long, held binary, times binary")
+    summed = parts.groupBy("candidate", "bucket").applyInArrow(merge, "candidate int, n long, s double").groupBy("candidate").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return summed.select("candidate", "n", F.round(F.col("n") * F.ln("n") - F.col("s"), 4).alias("entropy"))
+
+
+def _counts(held: list[np.ndarray], times: list[np.ndarray | None], most: int) -> np.ndarray:
+    """How often each value below most occurs in pieces of sorted values, each with its count (times) or repeated."""
+    if most <= DENSE:
+        out = np.zeros(most, dtype=np.int64)
+        for v, t in zip(held, times, strict=True):
+            if t is None:
+                some = np.bincount(v.astype(np.int64))
+                out[: len(some)] += some
+            else:
+                out[v] += t  # distinct ones
+        return out[out > 0]
+    v = np.concatenate(held)
+    t = np.concatenate([np.ones(len(x), dtype=np.int64) if y is None else y.astype(np.int64) for x, y in zip(held, times, strict=True)])
+    order = np.argsort(v, kind="stable")
+    v, t = v[order], t[order]
+    return np.add.reduceat(t, np.flatnonzero(np.append(True, v[1:] != v[:-1])))
+
+
 Candidate = tuple[Form, ...]
 
 

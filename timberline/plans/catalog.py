@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -474,9 +473,11 @@ def _item_rules(spark, sf_dir) -> list[tuple[str, rules.Candidate]]:
     for c in VALUES:
         rows = rows.withColumn(f"{c}_do", deltas.backward(c, BLOCK, ORDER)).withColumn(f"{c}_up", deltas.forward(c, BLOCK, ORDER))
     candidates: list[rules.Candidate] = [(f,) for f in plain] + rules.pairs(plain)
-    exprs = {str(i): reduce(lambda a, b: a - b, [F.col(f.name) for f in c]) for i, c in enumerate(candidates)}
-    scores = {candidates[int(r["candidate"])]: r["entropy"] for r in rules.entropies(rows, exprs).collect()}
-    return rules.greedy(VALUES, scores)
+    ends = views.item_values(spark, sf_dir).agg(*[f(c).alias(f"{c}_{n}") for c in VALUES for n, f in (("low", F.min), ("high", F.max))]).first()
+    bounds = [rules.bounds_of(f, ends[f"{f.base}_low"] or 0, ends[f"{f.base}_high"] or 0) for f in plain]
+    place = {f: i for i, f in enumerate(plain)}
+    found = rules.entropies_in_buckets(rows, [f.name for f in plain], bounds, [tuple(place[f] for f in c) for c in candidates])
+    return rules.greedy(VALUES, {candidates[r["candidate"]]: r["entropy"] for r in found.collect()})
 
 
 @query()
