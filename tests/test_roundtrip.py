@@ -202,3 +202,28 @@ def test_sources_agree_on_order(spark, tmp_path):
     assert block_range(lines, 2, 3).count() == 100
     assert sample_blocks(lines, LogConfig(sample_least=3, sample_rate=0.0)).count() == 60
     assert sample_blocks(lines_of(spark, texts[:10]), LogConfig()).count() == 10
+
+
+def test_a_model_too_large_for_the_driver_stays_a_table(spark, sf, con, tmp_path, monkeypatch):
+    from helpers import differ
+
+    from timberline.plans import catalog
+    from timberline.plans import model as plans_model
+    from timberline.sources import views
+
+    config = LogConfig(head_slots=0, boundary=catalog.DOCS.boundary, max_templates=150, max_tokens=60)
+    lines = views.doc_lines(spark, sf).selectExpr("'' AS file", "doc_id AS block_id", "line_no", "line", "true AS final_newline")
+    matched = lambda m: sorted((r.block_id, r.rec_id, r.status, r.eid, tuple(r.vars or ())) for r in pipeline.parse(lines, m, config).collect())
+    listed = pipeline.train(lines, config, "mask", sample=False)
+    monkeypatch.setattr(plans_model, "DRIVER_TOKENS", 0)
+    stored = pipeline.train(lines, config, "mask", sample=False)
+    assert listed.templates and not stored.templates
+    assert sorted((r.eid, r.ord, list(r.tokens), r.train_count) for r in stored.stored.collect()) == sorted(listed.templates)
+    assert matched(stored) == matched(listed)
+    stored.save(spark, str(tmp_path / "m"))
+    loaded = plans_model.Model.load(spark, str(tmp_path / "m"))
+    assert not loaded.templates and matched(loaded) == matched(listed)
+    for archive in (False, True):
+        back = pipeline.restore(pipeline.compress(lines, loaded, config, archive=archive), loaded, config)
+        assert sorted(back.select("block_id", "line_no", "line").collect()) == sorted(lines.select("block_id", "line_no", "line").collect())
+    assert not differ(catalog.QUERIES["roundtrip_multi"](spark, sf), con, catalog.ORACLE_SQL["roundtrip_multi"])

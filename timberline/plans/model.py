@@ -11,10 +11,18 @@ from pyspark.sql import functions as F
 
 from timberline.config import LogConfig
 from timberline.operators.header import Slot
-from timberline.operators.matching import template_table
+from timberline.operators.matching import described, template_table
 from timberline.operators.rules import Candidate, Form
 
 
+#: Tokens of all templates that the driver holds as a list, at most; a larger model stays a table.
+DRIVER_TOKENS = 1 << 20
+
+
+def is_large(templates: DataFrame, tokens: str = "tokens") -> bool:
+    return (templates.agg(F.sum(F.size(tokens))).first()[0] or 0) > DRIVER_TOKENS
+
+
 def usable(templates: list[tuple[int, int, list[str], int]], config: LogConfig) -> list[tuple[int, int, list[str], int]]:
     """The templates that a record can match, up to config.max_templates in their order; a warning tells how many go.
 
@@ -33,16 +41,23 @@ class Model:
     templates: list[tuple[int, int, list[str], int]]
     #: eid -> (identifier positions, rules in order); positions are names of columns.
     rules: dict[int, tuple[list[str], list[tuple[str, Candidate]]]] = field(default_factory=dict)
+    #: The templates (eid, ord, tokens, train_count) as a table, where they are too large for the driver; then `templates` is empty.
+    stored: DataFrame | None = None
 
     def __post_init__(self):
         if len({t[0] for t in self.templates}) != len(self.templates) or any(t[0] < 1 for t in self.templates):
             raise ValueError("template ids must be positive and differ")
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return template_table(spark, self.templates)
+        return template_table(spark, self.templates) if self.stored is None else described(self.stored)
+
+    def coder(self, templates: list[tuple[int, int, list[str], int]] | None = None) -> Model:
+        """What a task needs that encodes, or decodes with these templates."""
+        return Model(self.slots, templates or [], self.rules)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame(self.templates, "eid int, ord int, tokens array<string>, train_count long").coalesce(1).write.mode("overwrite").parquet(f"{path}/templates")
+        templates = self.stored if self.stored is not None else spark.createDataFrame(self.templates, "eid int, ord int, tokens array<string>, train_count long").coalesce(1)
+        templates.write.mode("overwrite").parquet(f"{path}/templates")
         slots = [(i, None if s.pieces is None else json.dumps(s.pieces)) for i, s in enumerate(self.slots)]
         spark.createDataFrame(slots, "slot int, pieces string").coalesce(1).write.mode("overwrite").parquet(f"{path}/head_schema")
         rows = [
@@ -54,12 +69,14 @@ class Model:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Model:
-        templates = [(r.eid, r.ord, list(r.tokens), r.train_count) for r in spark.read.parquet(f"{path}/templates").orderBy("ord").collect()]
+        stored = spark.read.parquet(f"{path}/templates")
+        large = is_large(stored)
+        templates = [] if large else [(r.eid, r.ord, list(r.tokens), r.train_count) for r in stored.orderBy("ord").collect()]
         slots = [Slot(None if r.pieces is None else tuple(json.loads(r.pieces))) for r in spark.read.parquet(f"{path}/head_schema").orderBy("slot").collect()]
         rules: dict = {}
         for r in spark.read.parquet(f"{path}/rules").orderBy("eid", "step").collect():
             rules.setdefault(r.eid, (json.loads(r.ids), []))[1].append((r.new, tuple(Form(*f) for f in json.loads(r.forms))))
-        return cls(slots, templates, rules)
+        return cls(slots, templates, rules, stored if large else None)
 
     def metadata(self, spark: SparkSession) -> DataFrame:
         """(eid, text, train_count, json): each template as readable text and as JSON."""

@@ -10,12 +10,14 @@ import lzma
 import os
 import re
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,7 +25,7 @@ from pyspark.sql import Window as W
 from timberline.config import LogConfig
 from timberline.operators import codec, framing, header, matching, mining, rules, variables
 from timberline.operators import tokens as tk
-from timberline.plans.model import Model, usable
+from timberline.plans.model import Model, is_large, usable
 from timberline.sources.lines import sample_blocks, with_blocks
 
 KEYS = ["file", "block_id"]
@@ -48,7 +50,7 @@ def _parsed(records: DataFrame, model_slots: list | None, config: LogConfig) ->
 def parse(lines: DataFrame, model: Model, config: LogConfig) -> DataFrame:
     """Records with status, head, toks, eid and vars: the table to query a log by."""
     records = framing.frame(as_blocks(lines, config), KEYS, config)
-    return matching.match(_parsed(records, model.slots, config), model.table(lines.sparkSession), config)
+    return matching.match(_parsed(records, model.slots, config), model.table(lines.sparkSession), config, model.stored is not None)
 
 
 def train(lines: DataFrame, config: LogConfig, miner: str = "tree", sample: bool = True) -> Model:
@@ -62,15 +64,28 @@ def train(lines: DataFrame, config: LogConfig, miner: str = "tree", sample: bool
     records = framing.frame(lines, KEYS, config).cache()
     slots = header.infer_slots(_parsed(records, None, config), config)
     parsed = _parsed(records, slots, config)
-    templates = mining.tree_templates(parsed, config) if miner == "tree" else matching.masked_templates(parsed)
-    model = Model(slots, usable(templates, config))
-    templates = model.templates
-    if config.level == "N" and templates:
-        model.rules = find_rules(matching.match(parsed, model.table(lines.sparkSession), config), config)
+    counted = matching.masked_counts(parsed).persist(StorageLevel.DISK_ONLY) if miner == "mask" else None
+    if counted is not None and is_large(counted, "m"):
+        model = Model(slots, [], stored=_stored(counted, config))
+    else:
+        model = Model(slots, usable(mining.tree_templates(parsed, config) if counted is None else matching.listed(counted), config))
+    if counted is not None:
+        counted.unpersist()
+    if config.level == "N" and (model.templates or model.stored is not None):
+        model.rules = find_rules(matching.match(parsed, model.table(lines.sparkSession), config, model.stored is not None), config)
     records.unpersist()
     return model
 
 
+def _stored(counted: DataFrame, config: LogConfig) -> DataFrame:
+    """The templates of a model as a table on the executors' disks, which is made anew where an executor is lost."""
+    kept = matching.stored_templates(counted, config).persist(StorageLevel.DISK_ONLY)
+    gone = counted.count() - kept.count()
+    if gone:
+        warnings.warn(f"{gone} templates are too long or too many", stacklevel=3)
+    return kept
+
+
 def find_rules(matched: DataFrame, config: LogConfig) -> dict[int, tuple[list[str], list[tuple[str, rules.Candidate]]]]:
     """Rules of the templates with two or more varying numeric columns, from the training records."""
     long = variables.long_form(matched, KEYS)
@@ -229,9 +244,11 @@ def compress(lines: DataFrame, model: Model, config: LogConfig, archive: bool =
     firsts = lines.groupBy(*KEYS).agg(F.min("line_no").alias("first_line"), F.bool_and("final_newline").alias("final_newline"))
     rows = parsed.select(*KEYS, "rec_id", "eid", F.when(F.col("eid") <= 0, F.col("raw")).alias("raw"), F.col("head.values").alias("values"), F.col("head.gaps").alias("gaps"), "vars").join(firsts, KEYS)
 
+    coder = model.coder()
+
     def encode(block: pd.DataFrame) -> pd.DataFrame:
         file, block_id = block["file"].iloc[0], block["block_id"].iloc[0]
-        made = [(file, block_id, *r) for r in encode_block(block, model, config)]
+        made = [(file, block_id, *r) for r in encode_block(block, coder, config)]
         out = pd.DataFrame(made, columns=["file", "block_id", "stream", "codec", "n", "payload"])
         if archive:
             out["payload"] = [lzma.compress(p) for p in out["payload"]]
@@ -244,13 +261,30 @@ def compress(lines: DataFrame, model: Model, config: LogConfig, archive: bool =
 def restore(encoded: DataFrame, model: Model, config: LogConfig) -> DataFrame:
     """(file, block_id, line_no, line, final_newline): the lines as they were."""
 
-    def decode(block: pd.DataFrame) -> pd.DataFrame:
-        streams = {r.stream: (r.codec.removesuffix("+L"), lzma.decompress(r.payload) if r.codec.endswith("+L") else bytes(r.payload)) for r in block.itertuples(index=False)}
-        first, newline, records = decode_block(streams, model, config)
+    coder = model.coder(model.templates)
+    plain = lambda r: (r.codec.removesuffix("+L"), lzma.decompress(r.payload) if r.codec.endswith("+L") else bytes(r.payload))
+
+    def decode_with(block: pd.DataFrame, own: Model) -> pd.DataFrame:
+        first, newline, records = decode_block({r.stream: plain(r) for r in block.itertuples(index=False)}, own, config)
         text = [line for r in records for line in r.split("\n")]
         return pd.DataFrame({"file": block["file"].iloc[0], "block_id": block["block_id"].iloc[0], "line_no": np.arange(first, first + len(text)), "line": text, "final_newline": newline})
 
-    return encoded.groupBy(*KEYS).applyInPandas(decode, "file string, block_id long, line_no long, line string, final_newline boolean")
+    def decode(block: pd.DataFrame) -> pd.DataFrame:
+        return decode_with(block, coder)
+
+    def decode_by(block: pd.DataFrame, used: pd.DataFrame) -> pd.DataFrame:
+        return decode_with(block, coder.coder([(int(e), int(e), list(t), 0) for e, t in zip(used["eid"], used["tokens"], strict=True)]))
+
+    def eids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = [(r.file, r.block_id, int(e)) for r in batch.itertuples(index=False) for kind, data in [plain(r)] for e in np.unique(codec.decode_ints(data, kind.rstrip("D"), kind.endswith("D"))) if e > 0]
+            yield pd.DataFrame(held, columns=["file", "block_id", "eid"])
+
+    restored = "file string, block_id long, line_no long, line string, final_newline boolean"
+    if model.stored is None:
+        return encoded.groupBy(*KEYS).applyInPandas(decode, restored)
+    used = encoded.where("stream = 'eid'").mapInPandas(eids, "file string, block_id long, eid int").join(model.stored.select("eid", "tokens"), "eid")
+    return encoded.groupBy(*KEYS).cogroup(used.groupBy(*KEYS)).applyInPandas(decode_by, restored)
 
 
 def write_log(lines: DataFrame, path: str, charset: str = "ISO-8859-1") -> DataFrame:
